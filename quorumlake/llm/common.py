@@ -37,16 +37,21 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, words: int = 1 << 17) -> DataFrame:
-    """Rows of df whose `key` may be among keys[key]: a semi-join reduction, exact joins follow.
+def flag_in(df: DataFrame, key: str, keys: DataFrame, flag: str = "_flag", words: int = 1 << 17) -> DataFrame:
+    """df with `flag`: false only if `key` isn't among keys[key], true if it is, and now and then if it isn't.
 
-    What is broadcast is the bitmap, bounded by `words` * 16 bytes at any input size; when the keys outgrow it,
-    it lets more rows through and nothing is lost. `key` is a non-null long column in both.
+    What is broadcast is a one-hash bitmap, bounded by `words` * 16 bytes at any input size; when the keys outgrow it,
+    more rows are flagged and none is missed. `key` is a non-null long column in both.
     """
     slots = words * 64
     bits = keys.select(F.pmod(F.xxhash64(key), F.lit(slots)).alias("_b")).groupBy(F.expr("_b div 64").alias("_slot")).agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 as int)))").alias("_bits"))
-    hit = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_slot", F.expr("_b div 64")).join(F.broadcast(bits), "_slot")
-    return hit.where(F.expr("(_bits & shiftleft(1L, cast(_b % 64 as int))) != 0")).drop("_slot", "_b", "_bits")
+    out = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(slots))).withColumn("_slot", F.expr("_b div 64")).join(F.broadcast(bits), "_slot", "left")
+    return out.withColumn(flag, F.expr("coalesce((_bits & shiftleft(1L, cast(_b % 64 as int))) != 0, false)")).drop("_slot", "_b", "_bits")
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """Rows of df whose `key` may be among keys[key]: a semi-join reduction by flag_in; exact joins follow."""
+    return flag_in(df, key, keys, "_flag", words).where("_flag").drop("_flag")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import text_buffer, worker_cache
+from quorumlake.llm.common import text_buffer, worker_cache, written
 
 WINDOW = 10
 #: Characters of normalised windows that one automaton may hold; more are split over several scans.
@@ -122,8 +121,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     key = lambda items: "ac:" + hashlib.sha256(repr((window, items)).encode()).hexdigest()
     if len(shards) == 1:
         return rows.mapInArrow(scanner(shards[0], key(shards[0])), schema.format(kind))
-    from quorumlake.llm.common import written
-
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
     parts = [rows.mapInArrow(scanner(s, key(s)), schema.format(kind) + ", _row long") for s in shards]
     united = parts[0]
@@ -149,3 +146,20 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_CHARS) -> DataFrame:
+    """docs without the rows whose text holds a window of a benchmark item; columns stay as they are. One scan a shard."""
+    for items in _shards(benchmark, item_col, item_text_col, window, limit):
+        key = "ac:" + hashlib.sha256(repr((window, items)).encode()).hexdigest()
+
+        def clean(batches, items=items, key=key):
+            automaton = worker_cache(key, lambda: build_automaton(items, window))
+            for batch in batches:
+                data, off = text_buffer(batch.column(batch.num_columns - 1))
+                raw = data.tobytes()
+                mask = [not scan_text(raw[off[i] : off[i + 1]], automaton)[4] for i in range(len(off) - 1)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
+
+        docs = docs.withColumn("_scanned", F.col(text_col)).mapInArrow(clean, docs.schema)
+    return docs

@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import lower_az, maybe_in
+from quorumlake.llm.common import flag_in, lower_az, maybe_in
 
 PREFIX_CHARS = 64
 
 
+def _levels(rows: DataFrame, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """rows with _n (length) and _p (prefix hash, which covers the length), and the values of _p that occur repeatedly."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    keyed = rows.withColumn("_text", text).withColumn("_n", F.octet_length("_text").cast("long")).withColumn("_p", F.xxhash64(lower_az(F.substring("_text", 1, prefix_chars)), "_n"))
+    lengths = keyed.groupBy("_n").count().where("count > 1").select("_n")
+    return keyed, keyed.select("_n", "_p").join(lengths, "_n").groupBy("_p").count().where("count > 1").select("_p")
+
+
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """docs with one row of each set of equal texts: one with the largest id. All columns stay as they are.
+
+    Only rows whose prefix hash may be shared move; each task first reduces its rows of a text to one, so a group of any
+    size is a row a task. Of repeated ids in a group any one row stays; a null id stays only where no real one is.
+    """
+    keyed, prefixes = _levels(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(f"_row.{text_col}").alias("_text")), prefix_chars)
+    flagged = flag_in(keyed, "_p", prefixes)
+    key = F.col(f"_row.{id_col}")
+    last = flagged.where("_flag").groupBy("_n", F.sha2(lower_az(F.col("_text")), 256).alias("_sha")).agg(F.max_by("_row", F.struct(key.isNotNull(), key)).alias("_row"))
+    return flagged.where("not _flag").select("_row.*").unionByName(last.select("_row.*"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, digest_all: bool = False) -> DataFrame:
     """Every input row with keep_id, group_size, kept and text_sha256 beside its id.
 
@@ -23,11 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null). Repeated rows count each towards group_size and carry the same verdict. An empty table gives no rows.
     text_sha256 is null for rows that no level needed to read, unless digest_all. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    keyed = rows.withColumn("_n", F.octet_length("_text").cast("long")).withColumn("_p", F.xxhash64(lower_az(F.substring("_text", 1, prefix_chars)), "_n"))
-    lengths = keyed.groupBy("_n").count().where("count > 1").select("_n")
-    prefixes = keyed.select("_n", "_p").join(lengths, "_n").groupBy("_p").count().where("count > 1").select("_p")
-    # _p covers the length too. A bitmap of fixed size tells which rows to read in full; the join on _p below is exact.
+    keyed, prefixes = _levels(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), prefix_chars)
+    # A bitmap of fixed size tells which rows to read in full; the join on _p below is exact.
     full = F.sha2(lower_az(F.col("_text")), 256)
     if digest_all:
         hashed = keyed.select("doc_id", "_n", "_p", full.alias("text_sha256"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import components, maybe_in, mix, slices, text_buffer, word_hashes, written
+from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, text_buffer, word_hashes, written
 
 SHINGLE = 5
 COORDINATES = 64
@@ -181,3 +181,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component of near-duplicates: the one with the smallest id. All columns stay.
+
+    Rows are told apart by id and text, so a repeated id with another text is a row of its own. Only rows that may have to
+    go move; repeated rows that are equal in both stay or go together.
+    """
+    named = docs.withColumn("_id", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    gone = written(near_dedup(named, "_id", text_col, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    gone = gone.withColumn("_key", F.xxhash64("_id.id", "_id.text"))
+    flagged = flag_in(named.withColumn("_key", F.xxhash64("_id.id", "_id.text")), "_key", gone)
+    checked = flagged.where("_flag").join(gone.select(F.col("_id.id").alias("_a"), F.col("_id.text").alias("_b")), F.expr("_id.id <=> _a and _id.text = _b"), "left_anti")
+    return flagged.where("not _flag").select(*docs.columns).unionByName(checked.select(*docs.columns))
