@@ -163,13 +163,23 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 PIECE = 1 << 20
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: Word shapes: five lengths in bytes, times whether the last byte is a sign, times whether the first is of a non-ASCII letter.
+SHAPES = 20
+_SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _shapes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (np.digitize(ends - starts, [4, 7, 10, 15]) * 4 + _SIGN[piece[ends - 1]] * 2 + (piece[starts] >= 128)).astype(np.int64)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True, shapes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ([^\\x20\\x09-\\x0D]+) of consecutive texts, and each text's bounds among them.
 
     Texts are cut at white space into pieces of about a megabyte, so one very long text needs no more memory than many.
+    With a list as `shapes`, an array of the words' shapes is appended to it.
     """
     codes = byte_codes(fold)
-    hashes, counts = [], np.zeros(len(off), np.int64)
+    hashes, forms, counts = [], [], np.zeros(len(off), np.int64)
     at, last = int(off[0]), int(off[-1])
     while at < last:
         stop = min(at + PIECE, last)
@@ -188,7 +198,11 @@ def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[n
         final[inner - 1] = word[inner - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(final) + 1
         hashes.append(span_hash(prefix_hash(piece, codes), starts, ends))
+        if shapes is not None:
+            forms.append(_shapes(piece, starts, ends))
         counts += np.bincount(np.searchsorted(off, starts + at, "right"), minlength=len(off))[: len(off)]
         at = stop
     bounds = np.concatenate([[0], np.cumsum(counts[1:])])
+    if shapes is not None:
+        shapes.append(np.concatenate(forms) if forms else np.zeros(0, np.int64))
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), bounds
