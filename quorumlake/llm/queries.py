@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import brown_lm, decontamination, exact_dedup, html_render, near_dedup, pii, secret_scan, sentencepiece_codec, toxicity
+from quorumlake.llm import brown_lm, decontamination, exact_dedup, html_render, near_dedup, pii, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.load_model()).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
