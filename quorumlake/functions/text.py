@@ -43,8 +43,11 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, width: int = 3) -> Column:
     """The set of `width` consecutive words; fewer words make one, none an empty set."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))))
+    # slices side by side: no lambda looks the words up, so the optimizer may inline them without a cost that squares
+    n = F.greatest(F.size(words) - (width - 1), F.lit(0))
+    runs = F.arrays_zip(*(F.slice(words, F.lit(i + 1), n).alias(f"w{i}") for i in range(width)))
+    joined = F.transform(runs, lambda r: F.concat_ws(" ", *(r[f"w{i}"] for i in range(width))))
+    return F.when(F.size(words) >= width, F.array_distinct(joined)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def normal_form(kind: str = "NFKC"):
