@@ -34,7 +34,7 @@ def auc(rows: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> Da
 def average_precision(rows: DataFrame, label: str, score: str, tie: str) -> DataFrame:
     w = W.orderBy(F.desc(score), tie).rowsBetween(W.unboundedPreceding, 0)
     running = rows.select(F.col(label).alias("_y"), (F.sum(label).over(w) / F.count("*").over(w)).alias("_precision"))
-    return running.agg((F.sum(F.when(F.col("_y") == 1, F.col("_precision"))) / F.sum("_y")).alias("average_precision"))
+    return running.agg(F.try_divide(F.sum(F.when(F.col("_y") == 1, F.col("_precision"))), F.sum("_y")).alias("average_precision"))
 
 
 def brier(rows: DataFrame, label: str, p: str) -> DataFrame:
@@ -58,7 +58,7 @@ def categorical_smd(rows: DataFrame, label: str, category: str) -> DataFrame:
     """Per category, the standardised difference of its shares in the two classes."""
     totals = rows.agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
     shares = rows.groupBy(category).agg(F.count_if(F.col(label) == 1).alias("c1"), F.count_if(F.col(label) == 0).alias("c0")).crossJoin(F.broadcast(totals))
-    p, q = F.col("c1") / F.col("n1"), F.col("c0") / F.col("n0")
+    p, q = F.try_divide("c1", "n1"), F.try_divide("c0", "n0")
     v = (p * (1 - p) + q * (1 - q)) / 2
     return shares.select(category, F.when(v > 0, (p - q) / F.sqrt(F.when(v > 0, v))).when(p == q, 0.0).when(p > q, float("inf")).otherwise(float("-inf")).alias("smd"))
 
@@ -80,10 +80,10 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     counted = F.when(F.col("low") > 0, F.sequence(F.lit(1), F.least(F.col("low"), F.lit(1_000_000)).cast("int"))).otherwise(F.array().cast("array<int>"))
     exact = F.least(F.lit(1.0), 2 * F.aggregate(counted, zero, step, lambda acc: acc["tail"]))
-    z = F.abs(F.col("only_a") - F.col("only_b")) / F.sqrt(m)
+    z = F.try_divide(F.abs(F.col("only_a") - F.col("only_b")).cast("double"), F.sqrt(m))
     limit = F.exp(-0.717 * z - 0.416 * z * z)
     p = F.when(m == 0, 1.0).when(m > 1_000_000, limit).otherwise(exact)
-    return s.select("only_a", "only_b", "n", ((F.col("only_a") - F.col("only_b")) / F.col("n")).alias("difference"), p.alias("p_value"))
+    return s.select("only_a", "only_b", "n", F.try_divide(F.col("only_a") - F.col("only_b"), F.col("n")).alias("difference"), p.alias("p_value"))
 
 
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
