@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import SHAPES, slices, text_buffer, word_hashes, written
+from quorumlake.llm.common import SHAPES, slices, text_buffer, tidied, word_hashes, written
 
 #: Words clustered by exchange, and the classes they go to.
 CLUSTERED, CLASSES = 1024, 64
@@ -54,7 +54,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 keys, counts, shapes = _added(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(shapes.astype(np.int32))], names=["h", "c", "shape"])
 
-    return docs.select("_text").mapInArrow(run, "h long, c long, shape int").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
+    return docs.select("_text").mapInArrow(tidied(run), "h long, c long, shape int").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
 
 
 def _symbols(hashes: np.ndarray, shapes: np.ndarray, bounds: np.ndarray, order: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def count_pairs(docs: DataFrame, order: np.ndarray, ranks: np.ndarray) -> DataFr
                 keys, counts, _ = _added(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "c"])
 
-    return docs.select("_text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return docs.select("_text").mapInArrow(tidied(run), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "total", "rare"],
                 )
 
-    part = written(rows.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, total double, rare array<long>").withColumn("_row", F.monotonically_increasing_id()))
+    part = written(rows.mapInArrow(tidied(score), f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, total double, rare array<long>").withColumn("_row", F.monotonically_increasing_id()))
     rare = part.select("_row", F.explode("rare").alias("h")).join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = rare.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("_base"), F.sum(F.log10(F.col("c") + ALPHA)).alias("_total"), F.count_if(F.col("c") > 0).alias("_known"))
     out = part.drop("rare").join(more, "_row", "left")

@@ -80,17 +80,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def worker_cache(key: str, build):
-    """One object for each key and Python worker process, built on first use."""
+    """One object for each Python worker process, built on first use; another key's object takes its place."""
     import pyspark
 
     held = pyspark.__dict__.setdefault("_quorumlake_cache", {})
     if key not in held:
-        if len(held) > 8:
-            held.clear()
+        for other in [k for k in held if k != "powers" and key != "powers"]:
+            del held[other]
         held[key] = build()
     return held[key]
 
 
+def tidied(run):
+    """A function of Arrow batches that leaves its worker's memory as small as it found it: workers outlive their tasks."""
+
+    def wrapped(batches):
+        import ctypes
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column, without a copy of the text; null is empty."""
     if column.null_count:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import text_buffer, worker_cache, written
+from quorumlake.llm.common import slices, text_buffer, tidied, worker_cache, written
 
 WINDOW = 10
 #: Characters of normalised windows that one automaton may hold; more are split over several scans.
@@ -102,9 +102,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def scanner(items, key):
         def scan(batches):
             automaton = worker_cache(key, lambda: build_automaton(items, window))
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in slices(whole, 1)):
                 data, off = text_buffer(batch.column(1))
-                raw, rows = data.tobytes(), []
+                raw, rows = data[off[0] : off[-1]].tobytes(), []
+                off = off - off[0]
                 for i in range(len(off) - 1):
                     n, starts, ends, words, found = scan_text(raw[off[i] : off[i + 1]], automaton)
                     rows.append((n, words, starts, ends, sorted({str(items[k][0]) for k in found})))
@@ -120,9 +121,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     key = lambda items: "ac:" + hashlib.sha256(repr((window, items)).encode()).hexdigest()
     if len(shards) == 1:
-        return rows.mapInArrow(scanner(shards[0], key(shards[0])), schema.format(kind))
+        return rows.mapInArrow(tidied(scanner(shards[0], key(shards[0]))), schema.format(kind))
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = [rows.mapInArrow(scanner(s, key(s)), schema.format(kind) + ", _row long") for s in shards]
+    parts = [rows.mapInArrow(tidied(scanner(s, key(s))), schema.format(kind) + ", _row long") for s in shards]
     united = parts[0]
     for part in parts[1:]:
         united = united.unionByName(part)
@@ -155,11 +156,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def clean(batches, items=items, key=key):
             automaton = worker_cache(key, lambda: build_automaton(items, window))
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in slices(whole, whole.num_columns - 1)):
                 data, off = text_buffer(batch.column(batch.num_columns - 1))
-                raw = data.tobytes()
+                raw = data[off[0] : off[-1]].tobytes()
+                off = off - off[0]
                 mask = [not scan_text(raw[off[i] : off[i + 1]], automaton)[4] for i in range(len(off) - 1)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
 
-        docs = docs.withColumn("_scanned", F.col(text_col)).mapInArrow(clean, docs.schema)
+        docs = docs.withColumn("_scanned", F.col(text_col)).mapInArrow(tidied(clean), docs.schema)
     return docs

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, text_buffer, word_hashes, written
+from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, text_buffer, tidied, word_hashes, written
 
 SHINGLE = 5
 COORDINATES = 64
@@ -137,7 +137,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["doc_id", "n_shingles", "node", "tokens"],
                 )
 
-    signed = written(rows.mapInArrow(sign, f"doc_id {id_type}, n_shingles long, node binary, tokens array<long>"))
+    signed = written(rows.mapInArrow(tidied(sign), f"doc_id {id_type}, n_shingles long, node binary, tokens array<long>"))
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles")))
     # the tokens of one row of each node: rows with the node's smallest id (null ids: any)
     tokens = signed.where("node is not null").select("node", "doc_id", "tokens").join(nodes.select("node", "low"), "node").where("doc_id <=> low").select("node", F.explode("tokens").alias("token")).distinct()
@@ -162,7 +162,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = groups.select(F.xxhash64("low").alias("_key")).distinct()
     candidates = maybe_in(rows.withColumn("_key", F.xxhash64("doc_id")), "_key", wanted).select("doc_id", "_text")
-    members = candidates.mapInArrow(resolve, f"low {id_type}, node binary, shingles array<long>").join(groups.select("node", F.col("low").alias("_low")), "node").where("low <=> _low").select("node", "shingles").dropDuplicates(["node"])
+    members = candidates.mapInArrow(tidied(resolve), f"low {id_type}, node binary, shingles array<long>").join(groups.select("node", F.col("low").alias("_low")), "node").where("low <=> _low").select("node", "shingles").dropDuplicates(["node"])
     work = members.join(dealt, "node").select("group", "x", "y", "side", "node", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import written
+from quorumlake.llm.common import slices, tidied, written
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,7 +51,7 @@ def find_candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 def _scan(batches):
     kind = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())])
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, whole.num_columns - 1)):
         rows = []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             rows.append([{"kind": k, "start": s, "stop": e, "hash": hashlib.blake2b(v.encode(), digest_size=16).hexdigest(), "live": entropy(v) >= LIVE_BITS} for k, s, e, v in find_candidates(text or "")])
@@ -78,7 +78,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = lambda cols: F.to_json(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(cols))))
     rows = docs.select(F.col(id_col).alias("doc_id"), name(repo_cols).alias("repo"), name(owner_cols).alias("owner"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    scanned = written(rows.mapInArrow(_scan, f"doc_id {id_type}, repo string, owner string, found array<struct<{_CANDIDATE.replace(' ', ':').replace(',:', ',')}>>").withColumn("_row", F.monotonically_increasing_id()))
+    scanned = written(rows.mapInArrow(tidied(_scan), f"doc_id {id_type}, repo string, owner string, found array<struct<{_CANDIDATE.replace(' ', ':').replace(',:', ',')}>>").withColumn("_row", F.monotonically_increasing_id()))
     each = scanned.where(F.size("found") > 0).select("_row", "repo", "owner", F.inline("found"))
     owners = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     judged = each.join(owners, "hash").withColumn("alive", F.expr("live and owners = 1"))

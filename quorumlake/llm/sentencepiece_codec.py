@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, worker_cache
+from quorumlake.llm.common import slices, tidied, worker_cache
 
 SPACE_MARK = "▁"
 #: Where the cluster keeps the public model files; a parameter everywhere.
@@ -146,7 +146,7 @@ class Codec:
         self._peer = None
         self._blank = [i for i, p in enumerate(self.model.pieces) if p[0] == SPACE_MARK][:1]
         self.cuts = self.cuts and bool(self._blank)
-        self._known = {"": self._blank}
+        self._known = {"": np.array(self._blank, np.int32).tobytes()}
         self._odd: dict[str, tuple[bool, bool]] = {}
         self.verify = verify
         if self.cuts:  # words come one by one
@@ -156,33 +156,40 @@ class Codec:
         # A piece never reaches over the start of a run of blanks; the dummy prefix stands for each run's first blank.
         return [w[1:] for w in _WORD.findall(" " + text.replace(SPACE_MARK, " "))] if text else []
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Where pieces can't reach over a word's start, each distinct word is encoded once and its ids are put together;
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as 32-bit integers.
+
+        Where pieces can't reach over a word's start, each distinct word is encoded once and its ids are put together;
         elsewhere whole texts are encoded."""
+        pack = lambda ids: np.array(ids, np.int32).tobytes()
         if not self.cuts:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [self._words(t) for t in texts]
         known = self._known
         if len(known) > KNOWN_WORDS:
             known.clear()
-            known[""] = self._blank
+            known[""] = pack(self._blank)
             self._odd.clear()
         new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        known.update(zip(new, ids, strict=True))
+        known.update(zip(new, map(pack, ids), strict=True))
         if self.verify and new:
             for w, got, want, back in zip(new, ids, self.peer().encode(new, num_threads=1), self.decode(ids), strict=True):
                 if got != want or back != w:
                     self._odd[w] = (got == want, back == w)
-        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in words]
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(p, np.int32).tolist() for p in self.encode_packed(texts)]
 
-    def verdicts(self, texts: list[str], ids: list[list[int]]) -> tuple[list[bool], list[bool]]:
+    def verdicts(self, texts: list[str], packed: list[bytes]) -> tuple[list[bool], list[bool]]:
         """For each text just encoded: whether its ids are those of the sentencepiece library, and decode to the text.
 
         Where words are encoded apart, both were found for each distinct word, and hold for a text when they hold for
         its words; elsewhere the whole text is encoded by the other library and decoded.
         """
         if not self.cuts:
+            ids = [np.frombuffer(p, np.int32).tolist() for p in packed]
             return [a == b for a, b in zip(ids, self.peer().encode(texts, num_threads=1), strict=True)], [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
         marked = [SPACE_MARK not in t for t in texts]  # a mark in the text comes back as a blank
         if not self._odd:
@@ -237,19 +244,19 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
         for batch in batches:
             for piece in slices(batch, batch.num_columns - 1, 1 << 20):
                 texts = piece.column(piece.num_columns - 1).to_pylist()
-                ids = codec.encode(texts)
-                sizes = np.array([len(i) for i in ids], np.int64)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                packed = codec.encode_packed(texts)
+                sizes = np.array([len(p) // 4 for p in packed], np.int64)
+                flat = np.frombuffer(b"".join(packed), np.int32)
                 off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 columns = [pa.ListArray.from_arrays(off, pa.array(flat)), pa.array(sizes)]
                 if verify:
-                    columns += [pa.array(v, pa.bool_()) for v in codec.verdicts(texts, ids)]
+                    columns += [pa.array(v, pa.bool_()) for v in codec.verdicts(texts, packed)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kept))), *columns], names=[*kept, *new])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*(base.schema[n] for n in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
-    return base.select(*kept, "_encoded").mapInArrow(encode, schema)
+    return base.select(*kept, "_encoded").mapInArrow(tidied(encode), schema)
 
 
 def decode_documents(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_col: str = "text", threads: int = 2) -> DataFrame:
@@ -267,4 +274,4 @@ def decode_documents(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_c
                 ids = pc.fill_null(piece.column(piece.num_columns - 1), []).to_pylist()
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(codec.decode(ids), pa.string())], names=[*piece.schema.names[:-1], out_col])
 
-    return base.mapInArrow(decode, schema)
+    return base.mapInArrow(tidied(decode), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import byte_codes, flag_in, mix, powers, prefix_hash, slices, span_hash, text_buffer, written
+from quorumlake.llm.common import byte_codes, flag_in, mix, powers, prefix_hash, slices, span_hash, text_buffer, tidied, written
 
 LENGTH, GRAM = 100, 32
 #: Window starts handled at a time; a place among them takes 20 bits.
@@ -148,7 +148,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
                 found, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
-    shared = rows.select("_text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = rows.select("_text").mapInArrow(tidied(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     wanted = context.broadcast(_bitmap(shared, "h", words))
 
     def place(batches):
@@ -159,7 +159,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
                     take = pa.array(number[keep])
                     yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(f[keep].view(np.int64)), piece.column(0).take(take), piece.column(1).take(take), pa.array(start[keep]), pa.array(n[keep].astype(np.int32))], names=["h", "f", "doc_id", "_fp", "at", "n"])
 
-    placed = written(rows.select("doc_id", "_fp", "_text").mapInArrow(place, f"h long, f long, doc_id {kind}, _fp long, at long, n int"))
+    placed = written(rows.select("doc_id", "_fp", "_text").mapInArrow(tidied(place), f"h long, f long, doc_id {kind}, _fp long, at long, n int"))
     firsts = placed.groupBy("h", "f").agg(F.min(F.struct("doc_id", "_fp", "at")).alias("first"), F.count("*").alias("places"), F.max("n").alias("n"))
     firsts = written(firsts.select("h", "f", "first.*", "places", "n"))
 
@@ -184,7 +184,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
                     yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(f[keep].view(np.int64)), piece.column(0).take(take), piece.column(1).take(take), pa.array(start[keep]), pa.array(raw, pa.binary())], names=["h", "f", "doc_id", "_fp", "at", "raw"])
 
     key = several.select(F.col("h").alias("_h"), F.col("f").alias("_f"), F.col("doc_id").alias("_d"), F.col("_fp").alias("_p"), F.col("at").alias("_a"), "contexts")
-    cuts = rows.select("doc_id", "_fp", "_text").mapInArrow(cut, f"h long, f long, doc_id {kind}, _fp long, at long, raw binary")
+    cuts = rows.select("doc_id", "_fp", "_text").mapInArrow(tidied(cut), f"h long, f long, doc_id {kind}, _fp long, at long, raw binary")
     whole = written(cuts.join(key, F.expr("h = _h and f = _f and doc_id <=> _d and _fp = _p and at = _a")).select("h", "f", "doc_id", "_fp", "at", "raw", "contexts").dropDuplicates(["h", "f"]))
 
     def sort(batches):
@@ -217,7 +217,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    sorted_ = whole.where(F.col("contexts") <= together).select("h", "f", "doc_id", "_fp", "at", "raw").repartition("h").sortWithinPartitions("h").mapInArrow(sort, f"doc_id {kind}, _fp long, lo long, hi long")
+    sorted_ = whole.where(F.col("contexts") <= together).select("h", "f", "doc_id", "_fp", "at", "raw").repartition("h").sortWithinPartitions("h").mapInArrow(tidied(sort), f"doc_id {kind}, _fp long, lo long, hi long")
 
     # minimizers with very many fragments: each string by its own hash, the first place by a pre-aggregated minimum
     strings = whole.where(F.col("contexts") > together).select("doc_id", "_fp", "at", "raw", F.explode(F.expr(f"sequence(0, octet_length(raw) - {length})")).alias("i")).select("doc_id", "_fp", (F.col("at") + F.col("i")).alias("lo"), F.md5(F.expr(f"substring(raw, i + 1, {length})")).alias("s"))
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flagged = flag_in(rows, "_fp", spans.select("_fp"))
     join = spans.select(F.col("doc_id").alias("_d"), F.col("_fp").alias("_p"), "spans")
     touched = flagged.where("_flag").join(join, F.expr("doc_id <=> _d and _fp = _p"), "left")
-    changed = touched.select("doc_id", "_text", F.coalesce("spans", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("spans")).mapInArrow(cut, schema)
+    changed = touched.select("doc_id", "_text", F.coalesce("spans", F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")).alias("spans")).mapInArrow(tidied(cut), schema)
     zero = F.lit(0).cast("long")
     untouched = flagged.where("not _flag").select("doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"), F.when(F.lit(keep_text), F.col("_text").cast("binary")).alias("kept"))
     out = untouched.unionByName(changed)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import worker_cache
+from quorumlake.llm.common import slices, tidied, worker_cache
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
 FIT_ROWS = 6_000
@@ -160,11 +160,12 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
 
     def words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["words", "label"])
+            for piece in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in piece.column(0).to_pylist()], pa.string()), piece.column(1)], names=["words", "label"])
 
     # at most fit_rows ids: a broadcast of fixed size
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").select("_text", "_label")
-    sample = rows.mapInArrow(words, "words string, label int").collect()
+    sample = rows.mapInArrow(tidied(words), "words string, label int").collect()
     return fit(sorted((r[0], r[1]) for r in sample))
 
 
@@ -175,15 +176,15 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score
     def score(batches):
         automaton = worker_cache(key, lexicon.automaton)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_scored")).to_pylist()
-            scores = [probability(features(t or "", automaton), lexicon.coefficients) for t in texts]
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "_scored"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in kept), score_col])
+            last = batch.num_columns - 1
+            for piece in slices(batch, last):
+                scores = [probability(features(t or "", automaton), lexicon.coefficients) for t in piece.column(last).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(scores, pa.float64())], names=[*piece.schema.names[:-1], score_col])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != score_col), T.StructField(score_col, T.DoubleType())])
-    return docs.drop(score_col).withColumn("_scored", F.col(text_col)).mapInArrow(score, schema)
+    return docs.drop(score_col).withColumn("_scored", F.col(text_col)).mapInArrow(tidied(score), schema)
 
 
 def fold_of(id_col: Column) -> Column:
