@@ -18,22 +18,41 @@ def question_outcomes(pool: DataFrame, gold: DataFrame) -> DataFrame:
     return pool.join(gold, "id").groupBy("id").agg(F.max(F.when(F.col("sample_index") == 0, hit)).alias("greedy"), F.max(hit).alias("passed"), F.count_if(hit).alias("c"), F.count("*").alias("k"))
 
 
+def _ranges(rows: DataFrame, score: str, cuts: int = 256) -> DataFrame:
+    """rows with _range, the number of cut points below the score: equal scores share one, and all hold alike many rows."""
+    points = rows.agg(F.percentile_approx(score, F.array(*(F.lit(i / cuts) for i in range(1, cuts))), 10_000).alias("_cuts"))
+    return rows.crossJoin(F.broadcast(points)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+
+
 def auc(rows: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """ROC-AUC by average ranks; null where a class is absent.
 
-    Ranks are taken over distinct scores with their counts, so equal scores are one row and cost no window frame.
+    Ranks are taken over distinct scores with their counts. Over the whole table they are taken within ranges of the score
+    and moved by what lies below the range, so no task orders all scores.
     """
     ties = rows.groupBy(*by, score).agg(F.sum(F.col(label)).alias("_p"), F.count("*").alias("_n"))
-    before = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1) if by else W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = ties.withColumn("_below", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if by:
+        within, ties = [*by], ties.withColumn("_offset", F.lit(0).cast("long"))
+    else:
+        within, ties = ["_range"], _ranges(ties, score)
+        lower = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        offsets = ties.groupBy("_range").agg(F.sum("_n").alias("_size")).withColumn("_offset", F.coalesce(F.sum("_size").over(lower), F.lit(0))).drop("_size")
+        ties = ties.join(offsets, "_range")
+    before = W.partitionBy(*within).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    ranked = ties.withColumn("_below", F.col("_offset") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
     sums = ranked.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_below") + (F.col("_n") + 1) / 2)).alias("_r"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     neg = F.col("_n") - F.col("_p")
     return sums.select(*by, F.when((F.col("_p") > 0) & (neg > 0), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * neg)).alias("auc"))
 
 
 def average_precision(rows: DataFrame, label: str, score: str, tie: str) -> DataFrame:
-    w = W.orderBy(F.desc(score), tie).rowsBetween(W.unboundedPreceding, 0)
-    running = rows.select(F.col(label).alias("_y"), (F.sum(label).over(w) / F.count("*").over(w)).alias("_precision"))
+    """Mean precision at the positives by falling score, ties in order of a key; ranked within ranges of the score."""
+    ranged = _ranges(rows.select(F.col(label).alias("_y"), F.col(score).alias("_s"), F.col(tie).alias("_t")), "_s")
+    higher = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.sum("_y").alias("_py"), F.count("*").alias("_pn"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_py").over(higher), F.lit(0)).alias("_oy"), F.coalesce(F.sum("_pn").over(higher), F.lit(0)).alias("_on"))
+    w = W.partitionBy("_range").orderBy(F.desc("_s"), "_t").rowsBetween(W.unboundedPreceding, 0)
+    running = ranged.join(offsets, "_range").select("_y", ((F.col("_oy") + F.sum("_y").over(w)) / (F.col("_on") + F.count("*").over(w))).alias("_precision"))
     return running.agg(F.try_divide(F.sum(F.when(F.col("_y") == 1, F.col("_precision"))), F.sum("_y")).alias("average_precision"))
 
 

@@ -58,7 +58,18 @@ def round_robin(rows: DataFrame, by: list[str], source: str, key: str, seed: int
 
 
 def hash_order(rows: DataFrame, key: str, namespace: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy(stable_hash(F.lit(namespace), F.lit(seed), F.col(key)), key)) - 1)
+    """rows with their position in the order of (sha256 of namespace, seed and key; key), whole or within groups.
+
+    Rows are ranked within the 4,096 ranges of the hash's first three digits, which all hold alike many, and moved by what
+    the ranges before hold: no task sees more than a range.
+    """
+    hashed = rows.withColumn("_h", stable_hash(F.lit(namespace), F.lit(seed), F.col(key))).withColumn("_range", F.substring("_h", 1, 3))
+    sizes = hashed.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    own = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_h", key))
+    ranked = hashed.withColumn("_own", own).join(offsets, [*by, "_range"])
+    return ranked.withColumn("position", F.col("_own") - 1 + F.col("_offset")).select(*rows.columns, "position")
 
 
 def shards(rows: DataFrame, key: str, seed: int, ways: int) -> DataFrame:
