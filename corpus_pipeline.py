@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import decontamination, exact_dedup, near_dedup, sentencepiece_codec, toxicity
-from quorumlake.llm.common import written
+from quorumlake.llm.common import unused, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity lexicon scores at 0.7 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.fit_lexicon(docs, labels, toxicity.fold_of(F.col("doc_id")) != 1)
-    return toxicity.score_texts(docs, lexicon, score_col="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "_score")
+    return toxicity.score_texts(docs, lexicon, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from quorumlake.llm.common import SHAPES, slices, text_buffer, tidied, word_hash
 
 #: Words clustered by exchange, and the classes they go to.
 CLUSTERED, CLASSES = 1024, 64
-#: Most frequent words whose counts go to every task: 16 bytes each. Other words' counts come by a join.
+#: Most frequent words whose counts go to every task, at most: 16 bytes each. Other words' counts come by a join.
 HEAD = 1 << 17
 SWEEPS = 4
 #: Smoothing of emissions (added to each count) and of transitions (weight of the class's own share).
@@ -164,14 +164,23 @@ def train(docs: DataFrame, counts: DataFrame, clustered: int = CLUSTERED, classe
     """Fits on all texts of docs (column _text), given their word counts. What comes to the driver is bounded by `head`
     and by the square of the number of symbols."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == int(END), F.col("c"))), F.lit(0))).first()
-    top = counts.where(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(head).collect()
-    hashes, values = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
+    words = counts.where(F.col("h") != int(END))
+    # The head: whole classes of counts, the largest first, while they fit. A histogram of a few thousand classes tells
+    # where to stop, so no task and no result holds more than the head itself.
+    grade = F.floor(F.log2("c") * 64).cast("int")
+    bound, taken = None, 0
+    for r in sorted(words.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"]):
+        if taken + r["count"] > head:
+            break
+        bound, taken = r["grade"], taken + r["count"]
+    top = words.where(grade >= F.lit(bound)).select("h", "c").toArrow().sort_by([("c", "descending"), ("h", "ascending")]) if taken else None
+    hashes, values = (top.column(c).to_numpy() for c in ("h", "c")) if taken else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     chosen = hashes[:clustered]
     order = np.argsort(chosen)
     size = 1 + len(chosen) + SHAPES
     pairs = np.zeros(size * size)
-    for r in count_pairs(docs, chosen[order], order).collect():
-        pairs[r["pair"]] = r["c"]
+    found = count_pairs(docs, chosen[order], order).toArrow()
+    pairs[found.column("pair").to_numpy()] = found.column("c").to_numpy()
     pairs = pairs.reshape(size, size)
     of = exchange(pairs, len(chosen), classes)
     k = int(of.max()) + 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, text_buffer, tidied, worker_cache, written
+from quorumlake.llm.common import slices, text_buffer, tidied, unused, worker_cache, written
 
 WINDOW = 10
 #: Characters of normalised windows that one automaton may hold; more are split over several scans.
@@ -163,5 +163,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 mask = [not scan_text(raw[off[i] : off[i + 1]], automaton)[4] for i in range(len(off) - 1)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask, pa.bool_()))
 
-        docs = docs.withColumn("_scanned", F.col(text_col)).mapInArrow(tidied(clean), docs.schema)
+        docs = docs.withColumn(unused(docs, "_scanned"), F.col(text_col)).mapInArrow(tidied(clean), docs.schema)
     return docs

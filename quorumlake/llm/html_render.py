@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import tidied
+from quorumlake.llm.common import tidied, unused
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -332,4 +332,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text
                 texts = [render(h) for h in piece.column(piece.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*piece.schema.names[:-1], out_col, "n_chars"])
 
-    return pages.select(*rest.columns, F.col(html_col).alias("_html")).mapInArrow(tidied(run), schema)
+    return pages.select(*rest.columns, F.col(html_col).alias(unused(rest, "_html"))).mapInArrow(tidied(run), schema)

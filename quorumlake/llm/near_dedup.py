@@ -189,9 +189,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by id and text, so a repeated id with another text is a row of its own. Only rows that may have to
     go move; repeated rows that are equal in both stay or go together.
     """
-    named = docs.withColumn("_id", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
-    gone = written(near_dedup(named, "_id", text_col, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("_row"))
+    named = packed.select("_row", F.struct(F.col(f"_row.{id_col}").alias("id"), F.xxhash64(f"_row.{text_col}").alias("text")).alias("_id"), F.col(f"_row.{text_col}").alias("_words"))
+    gone = written(near_dedup(named, "_id", "_words", **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
     gone = gone.withColumn("_key", F.xxhash64("_id.id", "_id.text"))
     flagged = flag_in(named.withColumn("_key", F.xxhash64("_id.id", "_id.text")), "_key", gone)
     checked = flagged.where("_flag").join(gone.select(F.col("_id.id").alias("_a"), F.col("_id.text").alias("_b")), F.expr("_id.id <=> _a and _id.text = _b"), "left_anti")
-    return flagged.where("not _flag").select(*docs.columns).unionByName(checked.select(*docs.columns))
+    return flagged.where("not _flag").select("_row.*").unionByName(checked.select("_row.*"))

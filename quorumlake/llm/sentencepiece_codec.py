@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, tidied, worker_cache
+from quorumlake.llm.common import slices, tidied, unused, worker_cache
 
 SPACE_MARK = "▁"
 #: Where the cluster keeps the public model files; a parameter everywhere.
@@ -236,8 +236,9 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
     """
     Codec(raw, threads).check()
     new = {"ids": "array<int>", "n_tokens": "long", **({"parity": "boolean", "round_trip": "boolean"} if verify else {})}
-    base = docs.drop(*new).withColumn("_encoded", F.coalesce(F.col(text_col), F.lit("")))
-    kept = [n for n in base.columns if n != "_encoded"]
+    raw_text = unused(docs, "_encoded")
+    kept = [n for n in docs.columns if n not in new]
+    base = docs.withColumn(raw_text, F.coalesce(F.col(text_col), F.lit(""))).select(*kept, raw_text)
 
     def encode(batches):
         codec = _codec(raw, threads, verify)
@@ -256,15 +257,16 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
     from pyspark.sql import types as T
 
     schema = T.StructType([*(base.schema[n] for n in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
-    return base.select(*kept, "_encoded").mapInArrow(tidied(encode), schema)
+    return base.mapInArrow(tidied(encode), schema)
 
 
 def decode_documents(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_col: str = "text", threads: int = 2) -> DataFrame:
     """encoded with the text that each row's ids stand for; null or empty ids give the empty text."""
     from pyspark.sql import types as T
 
-    base = encoded.drop(out_col).withColumn("_ids", F.col(ids_col))
-    schema = T.StructType([*(f for f in base.schema.fields if f.name != "_ids"), T.StructField(out_col, T.StringType())])
+    held = unused(encoded, "_ids")
+    base = encoded.withColumn(held, F.col(ids_col)).drop(out_col)
+    schema = T.StructType([*(f for f in base.schema.fields if f.name != held), T.StructField(out_col, T.StringType())])
 
     def decode(batches):
         codec = _codec(raw, threads, False)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, tidied, worker_cache
+from quorumlake.llm.common import slices, tidied, unused, worker_cache
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
 FIT_ROWS = 6_000
@@ -154,9 +154,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
         labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label_col).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(fit_rows)
+        .withColumn("_place", F.pmod(F.xxhash64("_id"), F.lit(1 << 30)))
     )
+    # only about as many rows as are wanted enter the sort, however many labels there are
+    share = min(1.0, 1.5 * (fit_rows + 100) / max(1, chosen.count()))
+    chosen = chosen.where(F.col("_place") < int(share * (1 << 30))).orderBy("_place", "_id").limit(fit_rows).drop("_place")
 
     def words(batches):
         for batch in batches:
@@ -184,7 +186,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score
     from pyspark.sql import types as T
 
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != score_col), T.StructField(score_col, T.DoubleType())])
-    return docs.drop(score_col).withColumn("_scored", F.col(text_col)).mapInArrow(tidied(score), schema)
+    return docs.withColumn(unused(docs, "_scored"), F.col(text_col)).drop(*([score_col] if score_col != text_col else [])).mapInArrow(tidied(score), schema)
 
 
 def fold_of(id_col: Column) -> Column:

@@ -45,8 +45,8 @@ ROWS = corpus()
 @pytest.fixture(scope="module")
 def docs(spark):
     """Extra columns have names that operators use inside."""
-    rows = [(i, t, "en" if i % 2 else None, f"s{(i // 6) % 4}", "extra", i) for i, t in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _text string, n long").repartition(3)
+    rows = [(i, t, "en" if i % 2 else None, f"s{(i // 6) % 4}", "extra", i, *["x"] * 8) for i, t in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _text string, n long, _row string, _key string, _id string, _scanned string, _encoded string, _scored string, _slot string, _p string").repartition(3)
 
 
 def texts():
