@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import SHAPES, slices, text_buffer, tidied, word_hashes, written
+from quorumlake.llm.common import SHAPES, slices, small_batches, text_buffer, tidied, word_hashes, written
 
 #: Words clustered by exchange, and the classes they go to.
 CLUSTERED, CLASSES = 1024, 64
@@ -41,18 +41,33 @@ def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray,
     return found, np.bincount(where, weights=counts, minlength=len(found)).astype(np.int64), rest[first]
 
 
+def _summed(parts, limit: int = 2_000_000):
+    """parts added up, given out whenever the keys gathered so far are many."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > limit:
+            yield _added(held)
+            held, size = [], 0
+    if held:
+        yield _added(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """h, c, shape of all words and the end in `_text`; tasks count their own words first."""
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
-            parts = [(np.array([END]), np.array([batch.num_rows]), np.array([0]))] if batch.num_rows else []
+            if batch.num_rows:
+                yield np.array([END]), np.array([batch.num_rows]), np.array([0])
             for _, hashes, shapes, _ in _words(batch, 0):
                 found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                parts.append((found, counts, shapes[first]))
-            if parts:
-                keys, counts, shapes = _added(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(shapes.astype(np.int32))], names=["h", "c", "shape"])
+                yield found, counts, shapes[first]
+
+    def run(batches):
+        for keys, counts, shapes in _summed(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(shapes.astype(np.int32))], names=["h", "c", "shape"])
 
     return docs.select("_text").mapInArrow(tidied(run), "h long, c long, shape int").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
 
@@ -80,16 +95,16 @@ def count_pairs(docs: DataFrame, order: np.ndarray, ranks: np.ndarray) -> DataFr
     """pair (first symbol * number of symbols + second) and c of all neighbours; each text starts after an end."""
     size = 1 + len(ranks) + SHAPES
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
-            parts = []
             for _, hashes, shapes, bounds in _words(batch, 0):
                 symbols, _, _ = _symbols(hashes, shapes, bounds, order, ranks)
                 found, counts = np.unique(np.concatenate([[0], symbols[:-1]]) * size + symbols, return_counts=True)
-                parts.append((found, counts, counts))
-            if parts:
-                keys, counts, _ = _added(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "c"])
+                yield found, counts, counts
+
+    def run(batches):
+        for keys, counts, _ in _summed(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "c"])
 
     return docs.select("_text").mapInArrow(tidied(run), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
@@ -221,6 +236,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Corpus counts are summed in the tasks before they are shuffled. Counts of the `head` most frequent words go to the
     tasks (a fixed size); other words of a text meet their counts in a join whose keys are all rare.
     """
+    small_batches(docs.sparkSession)
     rule = held_out if held_out is not None else F.crc32(F.col(id_col).cast("string")) % 7 == 2
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(rule, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
     training = rows.where(~F.col("held_out"))

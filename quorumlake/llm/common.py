@@ -40,6 +40,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has the default of 10,000: texts make large rows, and a batch is
+    held in the executor's and the worker's memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; ASCII texts take the byte-wise path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

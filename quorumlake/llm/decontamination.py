@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, text_buffer, tidied, unused, worker_cache, written
+from quorumlake.llm.common import slices, small_batches, text_buffer, tidied, unused, worker_cache, written
 
 WINDOW = 10
 #: Characters of normalised windows that one automaton may hold; more are split over several scans.
@@ -96,6 +96,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     items or ids count once; an empty benchmark contaminates nothing. Repeated document rows give repeated results.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     shards = _shards(benchmark, item_col, item_text_col, window, limit)
     schema = "doc_id {}, n_words long, hit_words array<int>, hit_starts array<int>, hit_ends array<int>, items array<string>"
 
@@ -151,6 +152,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_CHARS) -> DataFrame:
     """docs without the rows whose text holds a window of a benchmark item; columns stay as they are. One scan a shard."""
+    small_batches(docs.sparkSession)
     for items in _shards(benchmark, item_col, item_text_col, window, limit):
         key = "ac:" + hashlib.sha256(repr((window, items)).encode()).hexdigest()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import tidied, unused
+from quorumlake.llm.common import small_batches, tidied, unused
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -322,6 +322,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text
     """
     from pyspark.sql import types as T
 
+    small_batches(pages.sparkSession)
     rest = pages.drop(out_col, "n_chars", html_col)
     schema = T.StructType([*rest.schema.fields, T.StructField(out_col, T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, text_buffer, tidied, word_hashes, written
+from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, small_batches, text_buffer, tidied, word_hashes, written
 
 SHINGLE = 5
 COORDINATES = 64
@@ -124,6 +124,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than any other: it is nobody's component_id unless all of the component are null. Repeated ids are separate rows;
     those with equal sets get equal results. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
 

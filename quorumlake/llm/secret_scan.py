@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, tidied, written
+from quorumlake.llm.common import slices, small_batches, tidied, written
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -75,6 +75,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count once as owners. A text's candidates are one array; the corpus counts are pre-aggregated, so a value in a third
     of all rows is a row a task. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     name = lambda cols: F.to_json(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(cols))))
     rows = docs.select(F.col(id_col).alias("doc_id"), name(repo_cols).alias("repo"), name(owner_cols).alias("owner"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()

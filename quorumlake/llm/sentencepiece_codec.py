@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, tidied, unused, worker_cache
+from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache
 
 SPACE_MARK = "▁"
 #: Where the cluster keeps the public model files; a parameter everywhere.
@@ -23,7 +23,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words whose ids a worker keeps, before it starts afresh.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 _WORD = re.compile(" +[^ ]*")
 
 PROBES = (
@@ -234,6 +234,7 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
     Null and empty texts have no ids, and are decoded to the empty text. Columns of docs that have the new names are
     replaced; all other columns and all rows are kept, repeated ones too.
     """
+    small_batches(docs.sparkSession)
     Codec(raw, threads).check()
     new = {"ids": "array<int>", "n_tokens": "long", **({"parity": "boolean", "round_trip": "boolean"} if verify else {})}
     raw_text = unused(docs, "_encoded")
@@ -264,6 +265,7 @@ def decode_documents(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_c
     """encoded with the text that each row's ids stand for; null or empty ids give the empty text."""
     from pyspark.sql import types as T
 
+    small_batches(encoded.sparkSession)
     held = unused(encoded, "_ids")
     base = encoded.withColumn(held, F.col(ids_col)).drop(out_col)
     schema = T.StructType([*(f for f in base.schema.fields if f.name != held), T.StructField(out_col, T.StringType())])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import byte_codes, flag_in, mix, powers, prefix_hash, slices, span_hash, text_buffer, tidied, written
+from quorumlake.llm.common import byte_codes, flag_in, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffer, tidied, written
 
 LENGTH, GRAM = 100, 32
 #: Window starts handled at a time; a place among them takes 20 bits.
@@ -138,15 +138,24 @@ def _among(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER, words: int = BITMAP_WORDS) -> DataFrame:
     """(doc_id, _fp, lo, hi): byte ranges of rows (doc_id, _fp, _text) to remove; they may overlap."""
+    small_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     context = rows.sparkSession.sparkContext
 
     def count(batches):
-        for batch in batches:
-            parts = [h for piece in slices(batch, 0) for h, *_ in fragments(*text_buffer(piece.column(0)), length, gram)]
-            if parts:
-                found, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
+        def summed(parts):
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
+
+        parts, size = [], 0
+        for h, *_ in (f for batch in batches for piece in slices(batch, 0) for f in fragments(*text_buffer(piece.column(0)), length, gram)):
+            parts.append(h)
+            size += len(h)
+            if size > 1_000_000:
+                yield summed(parts)
+                parts, size = [], 0
+        if parts:
+            yield summed(parts)
 
     shared = rows.select("_text").mapInArrow(tidied(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     wanted = context.broadcast(_bitmap(shared, "h", words))

@@ -7,16 +7,17 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, tidied, unused, worker_cache
+from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
-FIT_ROWS = 6_000
+FIT_ROWS = 4_000
 THRESHOLD = 0.7
 
 # Look-alike letters (Cyrillic, Greek, full width) and digit or sign substitutions, each as the letter it
@@ -111,7 +112,7 @@ def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[
     Candidates are word beginnings and whole words; an entry is the shortest of its line whose texts are nearly all
     labelled, in more texts (near copies counted once) than chance gives any of the candidates.
     """
-    docs = [(frozenset(words.split()), label) for words, label in dict(sorted(rows)).items()]
+    docs = [(frozenset(map(intern, words.split())), label) for words, label in dict(sorted(rows)).items()]
     apart = _distinct(docs)
     toxic = [{p for w in d for p in _prefixes(w)} for d, y in apart if y == 1]
     clean = [d for d, y in apart if y != 1]
@@ -150,6 +151,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
 
     Null ids, labels and texts are left out; of repeated labels the largest counts.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -173,6 +175,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; null and empty texts get the score of a text without matches."""
+    small_batches(docs.sparkSession)
     key = "toxicity:" + hashlib.sha256(repr(lexicon).encode()).hexdigest()
 
     def score(batches):
