@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
-FIT_ROWS = 4_000
+FIT_ROWS = 6_000
 THRESHOLD = 0.7
 
 # Look-alike letters (Cyrillic, Greek, full width) and digit or sign substitutions, each as the letter it
