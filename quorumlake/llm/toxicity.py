@@ -114,13 +114,13 @@ def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[
     """
     docs = [(frozenset(map(intern, words.split())), label) for words, label in dict(sorted(rows)).items()]
     apart = _distinct(docs)
-    toxic = [{p for w in d for p in _prefixes(w)} for d, y in apart if y == 1]
+    toxic = [d for d, y in apart if y == 1]
     clean = [d for d, y in apart if y != 1]
     if not toxic or not clean:
         rate = sum(y == 1 for _, y in docs) / len(docs) if docs else 0.0
         base = math.log(max(rate, 1e-4) / max(1 - rate, 1e-4))
         return Lexicon((), (), (base, 0.0, 0.0))
-    with_label = Counter(p for d in toxic for p in d)
+    with_label = Counter(p for d in toxic for p in {p for w in d for p in _prefixes(w)})  # one text at a time
     twice = sum(n > 1 for n in with_label.values())
     support = max(3, math.ceil(math.log(2 + 2 * twice) / math.log((len(toxic) + len(clean)) / len(toxic))))
     known = {p for p, n in with_label.items() if n >= support}
