@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quorumlake.llm import decontamination, exact_dedup, near_dedup, sentencepiece_codec, toxicity
 from quorumlake.llm.common import unused, written
 
+#: Near copies share this percentage of their five-word shingles. A pair at exactly 0.8 shares 31 or more of the 64
+#: coordinates but for a chance of one in a hundred million.
+NEAR_PERCENT, NEAR_MATCHES = 80, 31
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity lexicon scores at 0.7 or more."""
@@ -23,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near-duplicates."""
-    return near_dedup.keep_first(docs)
+    """Keeps the document with the smallest doc_id of each component of documents with a similarity of 0.8 or more."""
+    return near_dedup.keep_first(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

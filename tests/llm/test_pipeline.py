@@ -47,3 +47,18 @@ def test_stages(spark, folder):
     final = corpus_pipeline.run(spark, folder)
     assert sorted(r["doc_id"] for r in final.collect()) == steps["sentencepiece"]
     assert os.path.exists(folder)
+
+
+def test_near_copies_at_the_threshold(spark):
+    r = random.Random(7)
+    rows, want = [], set()
+    for i, (n, change) in enumerate([(60, 30), (51, 25), (50, 25), (60, 30), (40, 20), (30, 15)]):
+        words = [f"w{i}x{k}" for k in range(n)]
+        other = [*words[:change], "changed", *words[change + 1 :]]
+        sets = [{tuple(w[k : k + 5]) for k in range(n - 4)} for w in (words, other)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(other))]
+        want |= {10 * i} | ({10 * i + 1} if 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1]) else set())
+    assert 1 not in want and 31 not in want and 41 in want and 51 in want
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
