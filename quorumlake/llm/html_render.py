@@ -19,7 +19,7 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noembed noframes iframe title datalist audio video canvas object svg math select rp noscript".split())
+HIDDEN = frozenset("head script style template noembed noframes iframe title datalist audio video canvas object rp noscript".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split())
 HEAD_ONLY = frozenset("base link meta script style title noscript template".split())
@@ -39,15 +39,27 @@ IMPLIED_END = {
 }
 ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend".split())
 P_SCOPE = frozenset("table td th caption button object".split())
+#: Tags that make up a table, and the open elements that take only those: anything else goes before the table.
+STRUCTURE = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+PARTS = frozenset("table colgroup thead tbody tfoot tr".split())
+_TABLE, _TEMPLATE, _SELECT, _COLGROUP = (frozenset((t,)) for t in ("table", "template", "select", "colgroup"))
+END_SCOPE = frozenset("td th table caption".split())
+#: Foreign elements: where HTML begins again inside, what is not drawn, and the HTML tags that end them.
+FOREIGN = frozenset(("svg", "math"))
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Open elements, at most; deeper ones are laid out as children of the last.
 DEPTH = 400
 
 
 class Node:
-    __slots__ = ("children", "hidden", "tag")
+    """mark: the attributes of a select, optgroup or option; of a table under rendering, its lines."""
+
+    __slots__ = ("children", "hidden", "mark", "tag")
 
     def __init__(self, tag: str, hidden: bool = False):
-        self.tag, self.hidden, self.children = tag, hidden, []
+        self.tag, self.hidden, self.children, self.mark = tag, hidden, [], None
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -72,21 +84,69 @@ def _invisible(tag: str, raw: str) -> bool:
     return "display:none" in style or "visibility:hidden" in style
 
 
+def _show_options(select: Node) -> None:
+    """Leaves what a select shows: all options of a list box, the chosen one of a drop-down."""
+    found, work = [], list(reversed(select.children))
+    size = select.mark.get("size", "")
+    box = "multiple" in select.mark or (size.isdecimal() and int(size) > 1)
+    while work:
+        node = work.pop()
+        if isinstance(node, str) or (node.hidden and box):
+            continue
+        if node.tag == "option":
+            if node.mark.get("label"):
+                node.children = [node.mark["label"]]
+            found.append(node)
+            continue
+        if node.tag == "optgroup" and box and node.mark.get("label"):
+            label = Node("optgroup")
+            label.children.append(node.mark["label"])
+            found.append(label)
+        work += reversed(node.children)
+    if not box:
+        chosen = [n for n in found if "selected" in n.mark][-1:] or [n for n in found if "disabled" not in n.mark][:1]
+        found = [" ", *(c for n in chosen for c in n.children), " "]
+    select.children = found
+
+
 def parse(html: str) -> Node:
-    """The element tree. Missing end tags are implied, stray ones ignored, anything left open ends with the text."""
+    """The element tree. Missing end tags are implied, stray ones ignored, anything left open ends with the text.
+
+    What stands in a table but in no cell or caption goes before the table, as in browsers.
+    """
     root = Node("html")
     stack, at, end = [root], 0, len(html)
+    opened: dict[str, list[int]] = {}  # the places in the stack of the open elements of each tag
+    selects: list[Node] = []
+
+    def push(node: Node) -> None:
+        opened.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
     def close(upto: int) -> None:
+        for node in stack[upto:]:
+            opened[node.tag].pop()
         del stack[upto:]
 
+    def last(tags: frozenset) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close_implied(tags: frozenset, barrier: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                close(i)
-                return
-            if stack[i].tag in barrier:
-                return
+        i = last(tags)
+        if i > last(barrier | _TEMPLATE):
+            close(i)
+
+    def in_part() -> bool:
+        return stack[-1].tag in PARTS and last(_TABLE) > last(_TEMPLATE)
+
+    def insert(item: Node | str) -> None:
+        if stack[-1].tag == "colgroup":
+            close(len(stack) - 1)
+        if in_part():
+            before = stack[last(_TABLE) - 1].children  # the table is the last of these
+            before.insert(len(before) - 1, item)
+        else:
+            stack[-1].children.append(item)
 
     while at < end:
         lt = html.find("<", at)
@@ -96,9 +156,11 @@ def parse(html: str) -> Node:
             match = _TOKEN.match(html, lt) if lt >= 0 else None
         text = html[at : lt if match else end]
         if text:
-            if stack[-1].tag == "head" and not text.isspace():
+            blank = text.isspace()
+            if stack[-1].tag == "head" and not blank:
                 close(len(stack) - 1)
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            if not (blank and in_part()):
+                insert(unescape(text) if "&" in text else text)
         if match is None:
             break
         at = match.end()
@@ -108,33 +170,71 @@ def parse(html: str) -> Node:
         tag = name.lower()
         if closing:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in _CELL and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+                insert(Node("br"))
+            i = last(frozenset((tag,)))
+            if tag in ("table", "template", "body", "html"):
+                scope = 0
+            else:
+                scope = last(_TABLE if tag in STRUCTURE else END_SCOPE)
+            if i > max(scope, last(_TEMPLATE) if tag != "template" else 0):
+                close(i)
+                if tag == "svg" and not in_part():
+                    insert(" ")
             continue
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             close(len(stack) - 1)
+        inner = last(INTEGRATION)
+        foreign = last(FOREIGN) > inner
+        if foreign and (tag in ENDS_FOREIGN or tag in STRUCTURE):
+            close(min(i for t in FOREIGN for i in opened.get(t, ()) if i > inner))
+            foreign = False
+        node = Node(tag, _invisible(tag, raw) or (foreign and tag in UNDRAWN))
+        if (foreign or tag in FOREIGN) and raw.endswith("/"):
+            insert(node)
+            continue
+        table = last(_TABLE)
+        if tag in STRUCTURE and table > last(_TEMPLATE):
+            row, part = last(_ROW), max(table, last(_PART))
+            if tag in _CELL:
+                close((row if row > table else part) + 1)
+                if row < table:
+                    implied = Node("tr")
+                    stack[-1].children.append(implied)
+                    push(implied)
+            elif tag in _ROW:
+                close(part + 1)
+            else:
+                close((max(table, last(_COLGROUP)) if tag == "col" else table) + 1)
+            stack[-1].children.append(node)
+            if tag not in VOID:
+                push(node)
+            continue
+        if tag == "table" and table > last(_CELL | _TEMPLATE | frozenset(("caption",))):
+            close(table)
+        if tag in ("input", "textarea", "select") and last(_SELECT) > last(END_SCOPE | _TEMPLATE):
+            close(last(_SELECT))
+            if tag == "select":
+                continue
         if tag in ENDS_P:
             close_implied(frozenset(("p",)), P_SCOPE)
         if tag in IMPLIED_END:
-            tags, barrier = IMPLIED_END[tag]
             if tag in ("tr", "thead", "tbody", "tfoot"):
-                close_implied(_CELL, frozenset(("table",)))
+                close_implied(_CELL, _TABLE)
             if tag in _PART:
-                close_implied(_ROW, frozenset(("table",)))
-            close_implied(tags, barrier)
-            if tag in _CELL and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-                row = Node("tr")
-                stack[-1].children.append(row)
-                stack.append(row)
-        node = Node(tag, _invisible(tag, raw))
-        stack[-1].children.append(node)
+                close_implied(_ROW, _TABLE)
+            close_implied(*IMPLIED_END[tag])
+            if tag in _CELL and stack[-1].tag in _PART:
+                implied = Node("tr")
+                stack[-1].children.append(implied)
+                push(implied)
+        if tag == "form" and in_part():  # an empty element: the table goes on in its place
+            stack[-1].children.append(node)
+            continue
+        if tag == "text" and foreign:
+            insert(" ")
+        insert(node)
         if tag in VOID:
             continue
         if tag in RAW or tag in ESCAPABLE:
@@ -146,8 +246,14 @@ def parse(html: str) -> Node:
         if tag == "plaintext":
             node.children.append(html[at:])
             break
+        if tag in ("select", "optgroup", "option"):
+            node.mark = _attributes(raw)
+            if tag == "select":
+                selects.append(node)
         if len(stack) < DEPTH:
-            stack.append(node)
+            push(node)
+    for select in selects:
+        _show_options(select)
     return root
 
 
@@ -216,15 +322,36 @@ def _cells(table: Node) -> list[list[str]]:
             if cells:
                 rows.append(cells)
         else:
-            work += [c for c in reversed(node.children) if isinstance(c, Node) and not c.hidden and c.tag in ("thead", "tbody", "tfoot", "tr", "colgroup")]
+            work += [c for c in reversed(node.children) if isinstance(c, Node) and not c.hidden and c.tag in ("thead", "tbody", "tfoot", "tr")]
     return rows
 
 
 def _flat(cell: Node) -> str:
-    return " ".join(render_tree(cell).split())
+    return " ".join(_laid_out(cell).split())
+
+
+def _table_lines(table: Node) -> list[str]:
+    rows = _cells(table)
+    captions = [_flat(c) for c in table.children if isinstance(c, Node) and c.tag == "caption" and not c.hidden]
+    widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
+    lines = ["  ".join(cell.ljust(widths[k]) for k, cell in enumerate(r)).rstrip() for r in rows]
+    return [line for line in [*captions, *lines] if line]
 
 
 def render_tree(root: Node) -> str:
+    """The layout of all in root. Inner tables are laid out before those around them, so nesting needs no recursion."""
+    tables, work = [], [root]
+    while work:
+        node = work.pop()
+        if node.tag == "table":
+            tables.append(node)
+        work += [c for c in node.children if isinstance(c, Node) and not c.hidden]
+    for table in reversed(tables):
+        table.mark = _table_lines(table)
+    return _laid_out(root)
+
+
+def _laid_out(root: Node) -> str:
     out = _Out()
     counters: list[int | None] = []
     # (node, False) to enter, ("leave", state) to leave; text as it is
@@ -266,19 +393,9 @@ def render_tree(root: Node) -> str:
             if tag in SPACED and not (tag in ("ul", "ol") and counters):
                 out.add_margin()
         if tag == "table":
-            rows = _cells(node)
-            captions = [c for c in node.children if isinstance(c, Node) and c.tag == "caption" and not c.hidden]
-            loose = [c for c in node.children if isinstance(c, str) and c.strip()] + [c for c in node.children if isinstance(c, Node) and not c.hidden and c.tag not in ("caption", "thead", "tbody", "tfoot", "tr", "colgroup", "col")]
-            for line in [*(_flat(c) for c in captions), *(" ".join(c.split()) if isinstance(c, str) else _flat_of(c) for c in loose)]:
-                if line:
-                    out.text(line, True)
-                    out.end_line()
-            widths = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
-            for r in rows:
-                line = "  ".join(cell.ljust(widths[k]) for k, cell in enumerate(r)).rstrip()
-                if line:
-                    out.text(line, True)
-                    out.end_line()
+            for line in node.mark:
+                out.text(line, True)
+                out.end_line()
             out.add_margin()
             out.indent, out.marker = before[1], ""
             continue
@@ -301,12 +418,6 @@ def render_tree(root: Node) -> str:
     return out.result()
 
 
-def _flat_of(node: Node) -> str:
-    holder = Node("div")
-    holder.children.append(node)
-    return _flat(holder)
-
-
 def render(html: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, blank lines about paragraphs, headings, lists and
     tables, list markers with indents, table cells aligned in columns."""

@@ -329,6 +329,24 @@ def test_html():
     assert html_render.render("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_all_of_a_table():
+    for page, want in (
+        ("<table><tr><form><td>a</td></form></tr></table>z", "a\n\nz"),
+        ("<table><tbody><form><tr><td>a<td>b</form></tbody></table>", "a  b"),
+        ("<table><tr>note<td>b</table>", "note\n\nb"),
+        ("<table><tbody>loose<tr><div>x</div><td>y</td></tr></tbody></table>", "loose\nx\n\ny"),
+        ("<div>o<table><tr><div>x<td>y</div>z<tr><td>q</table>p</div>", "o\nx\n\nyz\nq\n\np"),
+        ("<table><colgroup>c<col><caption>t<tr><td>a <table><tr>in<td>n</table><td>b</table>", "c\n\nt\na in n  b"),
+        ("<table><tr><td>a<template><td>no</template><td>b</table>", "a  b"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> then", "if x=1 then"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path d='M0 0'/><text>a</text><style/><text>b</text></svg>c", "a b c"),
+        ("on <select><option>a<option selected>b<option>c</select>.", "on b ."),
+        ("<select><option disabled>a<option>b</select>", "b"),
+        ("<select multiple><optgroup label=g><option>a<option>b</select>", "g\na\nb"),
+    ):
+        assert html_render.render(page) == want, page
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "z"), (2, "u", None, "z"), (2, "u", None, "z")], "page_id long, url string, html string, text string")
     got = html_render.extract_pages(pages)
