@@ -49,8 +49,8 @@ FOREIGN = frozenset(("svg", "math"))
 INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-#: Open elements, at most; deeper ones are laid out as children of the last.
-DEPTH = 400
+#: Blanks that a line is indented by, at most.
+INDENT = 800
 
 
 class Node:
@@ -250,8 +250,7 @@ def parse(html: str) -> Node:
             node.mark = _attributes(raw)
             if tag == "select":
                 selects.append(node)
-        if len(stack) < DEPTH:
-            push(node)
+        push(node)
     for select in selects:
         _show_options(select)
     return root
@@ -289,7 +288,7 @@ class _Out:
             self.margin = False
             self.line = self.indent + self.marker
             if self.marker:
-                self.indent, self.marker = self.indent + " " * len(self.marker), ""
+                self.indent, self.marker = (self.indent + " " * len(self.marker))[:INDENT], ""
             self.gap = False
 
     def newline(self) -> None:
@@ -408,7 +407,7 @@ def _laid_out(root: Node) -> str:
             else:
                 out.marker = "- "
         elif tag in ("dd", "blockquote"):
-            out.indent += "  "
+            out.indent = (out.indent + "  ")[:INDENT]
         elif tag == "pre":
             keep += 1
             if node.children and isinstance(node.children[0], str):

@@ -347,6 +347,15 @@ def test_html_all_of_a_table():
         assert html_render.render(page) == want, page
 
 
+def test_html_at_any_depth():
+    deep = "<font>" * 1000
+    assert html_render.render(deep + "<div hidden>no</div><b style='display:none'>no</b>yes") == "yes"
+    assert html_render.render(f"a<div hidden>{deep}<div>no</div>no</div>z") == "az"
+    assert html_render.render(deep + "<table><tr><td>a<td>b<tr><td>cc<td>d</table><ol><li>x<li>y</ol>") == "a   b\ncc  d\n\n1. x\n2. y"
+    assert html_render.render("<table><tr><td>" * 3000 + "x" + "</table>" * 3000 + "y") == "x\n\ny"
+    assert html_render.render("<div>" * 100_000 + "</b>" * 100_000 + "x") == "x"
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a", "z"), (2, "u", None, "z"), (2, "u", None, "z")], "page_id long, url string, html string, text string")
     got = html_render.extract_pages(pages)
