@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache
+from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache, written
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
 FIT_ROWS = 6_000
@@ -106,8 +106,9 @@ def _distinct(docs: list[tuple[frozenset, int]], coordinates: int = 16, alike: i
     return kept
 
 
-def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """Learns entries, exceptions and the calibration from (distinct folded words of a text, label) pairs.
+def learn(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learns entries and exceptions from (distinct folded words of a text, label) pairs; without pairs of both labels
+    there are none, and the coefficients give the labelled share.
 
     Candidates are word beginnings and whole words; an entry is the shortest of its line whose texts are nearly all
     labelled, in more texts (near copies counted once) than chance gives any of the candidates.
@@ -131,10 +132,15 @@ def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[
     words_in = Counter(w for d in clean for w in d if any(f" {w} ".startswith(p) for p in entries))
     words_with = Counter(w for d, y in docs if y == 1 for w in d if w in words_in)
     learned = tuple(sorted(f" {w} " for w, n in words_in.items() if n >= 2 and n > words_with[w] and f" {w} " not in entries))
-    lexicon = Lexicon(tuple((p, round(weight(p), 6)) for p in sorted(entries)), tuple(dict.fromkeys((*learned, *(fold(e) for e in exceptions)))), (0.0, 0.0, 0.0))
-    automaton = lexicon.automaton()
-    x = np.array([(1.0, *features(" ".join(d), automaton)) for d, _ in docs])
-    y = np.array([float(label == 1) for _, label in docs])
+    return Lexicon(tuple((p, round(weight(p), 6)) for p in sorted(entries)), tuple(dict.fromkeys((*learned, *(fold(e) for e in exceptions)))), (0.0, 0.0, 0.0))
+
+
+def calibrate(lexicon: Lexicon, points: list[tuple[float, float, int]]) -> Lexicon:
+    """The lexicon with coefficients fitted to the features of whole texts and their labels."""
+    if not {y == 1 for _, _, y in points} == {True, False}:
+        return lexicon
+    x = np.array([(1.0, a, b) for a, b, _ in points])
+    y = np.array([float(label == 1) for _, _, label in points])
     b = np.zeros(3)
     for _ in range(50):  # Newton steps, a small ridge as the classes may part cleanly
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
@@ -146,9 +152,18 @@ def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[
     return Lexicon(lexicon.weights, lexicon.exceptions, tuple(float(round(v, 9)) for v in b))
 
 
+def fit(rows: list[tuple[str, int]], precision: float = 0.85, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Learns and calibrates on (text, label) pairs held in memory."""
+    lexicon = learn([(" ".join(sorted(set(fold(t).split()))), y) for t, y in rows], precision, exceptions)
+    automaton = lexicon.automaton()
+    return calibrate(lexicon, sorted((*features(t, automaton), y) for t, y in rows))
+
+
 def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Lexicon:
     """Fits on at most `fit_rows` labelled rows for which `training` (of `labels`) holds, taken in hash order of the id.
 
+    Entries are learnt from the texts' distinct words, coefficients from the features of the whole texts, which are
+    computed where the texts are: two numbers and the label of a row come back.
     Null ids, labels and texts are left out; of repeated labels the largest counts.
     """
     small_batches(docs.sparkSession)
@@ -167,16 +182,30 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
             for piece in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(set(fold(t or "").split()))) for t in piece.column(0).to_pylist()], pa.string()), piece.column(1)], names=["words", "label"])
 
+    def points(batches):
+        automaton = worker_cache(key, lexicon.automaton)
+        for batch in batches:
+            for piece in slices(batch, 0):
+                found = np.array([features(t, automaton) for t in piece.column(0).to_pylist()]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), piece.column(1)], names=["a", "b", "label"])
+
     # at most fit_rows ids: a broadcast of fixed size
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").select("_text", "_label")
+    rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").select("_text", "_label"))
     sample = rows.mapInArrow(tidied(words), "words string, label int").collect()
-    return fit(sorted((r[0], r[1]) for r in sample))
+    lexicon = learn(sorted((r[0], r[1]) for r in sample))
+    del sample
+    key = _key(lexicon)
+    return calibrate(lexicon, sorted(map(tuple, rows.mapInArrow(tidied(points), "a double, b double, label int").collect())))
+
+
+def _key(lexicon: Lexicon) -> str:
+    return "toxicity:" + hashlib.sha256(repr(lexicon).encode()).hexdigest()
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; null and empty texts get the score of a text without matches."""
     small_batches(docs.sparkSession)
-    key = "toxicity:" + hashlib.sha256(repr(lexicon).encode()).hexdigest()
+    key = _key(lexicon)
 
     def score(batches):
         automaton = worker_cache(key, lexicon.automaton)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,26 @@ def test_toxicity(spark):
     assert {x["predicted"] for x in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_calibrates_on_whole_texts(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = [r.choice(WORDS) + r.choice("abcd") for _ in range(30)] * 60
+        if i % 4 == 0:
+            for bad in ("idiot", "moron"):
+                words.insert(r.randrange(len(words)), bad)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit_lexicon(docs, labels, F.lit(True))
+    a = lexicon.automaton()
+    x = np.array([(1.0, *toxicity.features(t, a)) for _, t, _ in rows])
+    y = np.array([y for _, _, y in rows])
+    b = np.array(lexicon.coefficients)
+    # the penalised likelihood is flat at the coefficients on the features that scoring computes
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))) - np.array([1e-3, 0.05, 0.05]) * b).max() < 1e-4
+    assert [int(toxicity.probability(tuple(p[1:]), lexicon.coefficients) >= toxicity.THRESHOLD) for p in x] == y.tolist()
+
+
 def test_toxicity_exceptions():
     rows = [(f"w{i} idiot", 1) for i in range(20)] + [(f"v{i} plain", 0) for i in range(60)]
     lexicon = toxicity.fit(rows, exceptions=("the idiot novel",))
