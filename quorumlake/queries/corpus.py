@@ -264,6 +264,31 @@ def j11_contamination_cascade(t: Tables) -> DataFrame:
     return contamination_cascade(s.where("key % 2 = 0"), s.where("key % 2 = 1"), 0.8).withColumnRenamed("key", "doc_id")
 
 
+def _benchmark_sets(t: Tables) -> DataFrame:
+    rows = t.benchmark.select(F.col("item_id").alias("key"), "text", _template(F.col("text")).alias("template"))
+    return rows.withColumn("words", F.regexp_extract_all("template", F.lit("[a-z]+|<num>"), F.lit(0))).withColumn("items", X.shingles(F.col("words")))
+
+
+@query()
+def j9_all_documents(t: Tables) -> DataFrame:
+    """All pairs of documents, each once."""
+    s = _sets(t)
+    return similarity_join(s, s, 0.8, once=True).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
+def j10_all_documents(t: Tables) -> DataFrame:
+    """Every document that has a near-duplicate among all others."""
+    s = _sets(t).withColumn("items", F.array_distinct("words"))
+    return similarity_join(s, s, 0.9, once=True).select(F.explode(F.array("l", "r")).alias("doc_id")).distinct()
+
+
+@query()
+def j11_against_benchmark(t: Tables) -> DataFrame:
+    """Every document against the whole benchmark as the protected side."""
+    return contamination_cascade(_sets(t), _benchmark_sets(t), 0.8).withColumnRenamed("key", "doc_id")
+
+
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def j4_anti_join(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")

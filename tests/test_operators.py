@@ -109,6 +109,49 @@ def test_sequential_selections(spark):
     assert sorted(map(sorted, bins.values())) == [[1, 3], [2, 4]]
 
 
+def test_similarity_of_all_documents(spark, tmp_path):
+    import random
+
+    from quorumlake.queries import QUERIES
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+    base = [[r.choice(words) for _ in range(60)] for _ in range(6)]
+    texts = {}
+    for i in range(40):
+        text = list(r.choice(base))
+        for _ in range(i % 4):
+            text[r.randrange(60)] = r.choice(words)
+        texts[i] = " ".join(text)
+    texts |= {50: " ".join(base[0]), 52: " ".join(base[0]), 53: " ".join(words[:60]), 55: " ".join(words[:60]), 57: "", 60: "aa bb"}
+    items = {1: " ".join(base[1]), 2: " ".join([*base[2][:58], "qq", "rr"]), 3: "nothing like it"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("j9_all_documents", "j10_all_documents", "j11_against_benchmark", "plan_external_corpus_benchmark")}
+    sets, bags = {i: shingles(t) for i, t in texts.items()}, {i: set(t.split()) for i, t in texts.items()}
+    pairs = {(a, b): alike(sets[a], sets[b]) for a in texts for b in texts if a < b}
+    want = {p: round(s, 9) for p, s in pairs.items() if s >= 0.8}
+    assert {(x["l"], x["r"]): x["jaccard"] for x in got["j9_all_documents"]} == want and len(got["j9_all_documents"]) == len(want)
+    assert {p for p in want if sum(p) % 2 == 0} and {p for p in want if sum(p) % 2}
+    assert {x["doc_id"] for x in got["j10_all_documents"]} == {i for p in pairs if alike(bags[p[0]], bags[p[1]]) >= 0.9 for i in p}
+    kinds = {}
+    for i, t in texts.items():
+        exact = [k for k, x in items.items() if x == t]
+        near = sorted((-alike(sets[i], shingles(x)), k) for k, x in items.items() if alike(sets[i], shingles(x)) >= 0.8)
+        kinds[i] = ("exact", exact[0]) if exact else ("near", near[0][1]) if near else ("none", None)
+    assert {x["doc_id"]: (x["kind"], x["match"]) for x in got["j11_against_benchmark"]} == kinds and {k for k, _ in kinds.values()} == {"exact", "near", "none"}
+    first = {t: min(i for i in texts if texts[i] == t) for t in texts.values() if len(t) > 300}
+    assert {x["key"] for x in got["plan_external_corpus_benchmark"]} == {i for i in first.values() if kinds[i][0] == "none"}
+
+
 def test_similarity_join(spark):
     rows = [(1, ["a", "b", "c", "d"]), (2, ["a", "b", "c", "e"]), (3, []), (4, ["x"])]
     df = spark.createDataFrame(rows, "key long, items array<string>")
