@@ -40,6 +40,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def make_room(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with every column that has one of the names, in any case, under an unused name; data and order stay."""
+    for name in df.columns:
+        if name.lower() in {n.lower() for n in names}:
+            free = name + "_"
+            while free.lower() in {c.lower() for c in [*df.columns, *names]}:
+                free += "_"
+            df = df.withColumnRenamed(name, free)
+    return df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows where the session has the default of 10,000: texts make large rows, and a batch is
     held in the executor's and the worker's memory at once."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 from dataclasses import dataclass
 from itertools import chain
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache
+from quorumlake.llm.common import byte_codes, make_room, prefix_hash, slices, small_batches, span_hash, text_buffer, tidied, unused, worker_cache
 
 SPACE_MARK = "▁"
 #: Where the cluster keeps the public model files; a parameter everywhere.
@@ -23,8 +22,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words whose ids a worker keeps, before it starts afresh.
-KNOWN_WORDS = 100_000
-_WORD = re.compile(" +[^ ]*")
+KNOWN_WORDS = 300_000
+#: New words that go to the library in one line.
+LINE_WORDS = 256
 
 PROBES = (
     "", " ", "  ", "a", " a", "a ", "Hello world", "  two  spaces   three    four     five", "tabs\tand\nnew lines\r\n\r\n", "naïve café Übermaß ñandú",
@@ -132,73 +132,163 @@ def build_tokenizer(model: Model):
     return tokenizer
 
 
+class Words:
+    """Ids of distinct words in one flat array, found by sorted 64-bit hashes."""
+
+    def __init__(self, blank: int):
+        self.blank = blank
+        self.reset()
+
+    def reset(self) -> None:
+        # the empty word, whose hash is 0, is the mark alone
+        self.hash, self.start, self.size, self.flat = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.blank], np.int32)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the sorted hashes aren't held."""
+        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] != hashes
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        at = np.searchsorted(self.hash, hashes)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.hash = np.insert(self.size, at, size), np.insert(self.hash, at, hashes)
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. (size[0] of them), start[1], .. in one array."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _spread(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the words: all from a run of blanks to the next, without the run's first blank.
+
+    The dummy prefix stands for the blank before a text; an empty text has no words."""
+    first, last = int(off[0]), int(off[-1])
+    piece = data[first:last]
+    full = off[:-1][np.diff(off) > 0] - first
+    cut = piece == 32
+    cut[1:] &= piece[:-1] != 32
+    cut[full] = True
+    begins = np.flatnonzero(cut)
+    opens = np.zeros(len(piece) + 1, bool)
+    opens[full] = True
+    starts = begins + ~opens[begins]
+    ends = np.concatenate([begins[1:], [len(piece)]]) if len(begins) else begins
+    return starts, ends, np.searchsorted(off - first, begins, "right") - 1
+
+
 class Codec:
-    """A parsed model, its tokenizer, and encoding and decoding of lists of texts."""
+    """A parsed model, its tokenizer, and encoding and decoding of texts."""
 
-    def __init__(self, raw: bytes, threads: int = 2, verify: bool = False):
+    def __init__(self, raw: bytes, threads: int = 2):
         from tokenizers.pre_tokenizers import Sequence
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         self.raw, self.model = raw, parse_model(raw)
-        self.tokenizer = build_tokenizer(self.model)
-        self.cuts = cuttable(self.model) and not self.model.charsmap and not self.model.trim_spaces and self.model.dummy_prefix
+        self.whole = build_tokenizer(self.model)
+        blank = [i for i, p in enumerate(self.model.pieces) if p[0] == SPACE_MARK][:1]
+        self.cuts = cuttable(self.model) and not self.model.charsmap and not self.model.trim_spaces and self.model.dummy_prefix and bool(blank)
         self._peer = None
-        self._blank = [i for i, p in enumerate(self.model.pieces) if p[0] == SPACE_MARK][:1]
-        self.cuts = self.cuts and bool(self._blank)
-        self._known = {"": np.array(self._blank, np.int32).tobytes()}
-        self._odd: dict[str, tuple[bool, bool]] = {}
-        self.verify = verify
-        if self.cuts:  # words come one by one
-            self.tokenizer.pre_tokenizer = Sequence([])
-
-    def _words(self, text: str) -> list[str]:
-        # A piece never reaches over the start of a run of blanks; the dummy prefix stands for each run's first blank.
-        return [w[1:] for w in _WORD.findall(" " + text.replace(SPACE_MARK, " "))] if text else []
-
-    def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as 32-bit integers.
-
-        Where pieces can't reach over a word's start, each distinct word is encoded once and its ids are put together;
-        elsewhere whole texts are encoded."""
-        pack = lambda ids: np.array(ids, np.int32).tobytes()
+        if self.cuts:
+            self.words = Words(blank[0])
+            self.tokenizer = build_tokenizer(self.model)
+            self.tokenizer.pre_tokenizer = Sequence([])  # words come one by one
+            told = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE_MARK, " ").encode() for p, _, t in self.model.pieces]
+            self.size = np.array([len(p) for p in told], np.int64)
+            self.start = np.cumsum(self.size) - self.size
+            self.told = np.frombuffer(b"".join(told), np.uint8)
+            self.begins = np.array([p[0].startswith(SPACE_MARK) for p in self.model.pieces])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and each text's number of them.
+
+        Where pieces can't reach over a word's start, texts are cut into words by array operations, each distinct word is
+        encoded by the library once, and the ids are put together by their places; elsewhere whole texts are encoded."""
+        if not self.cuts:
+            ids = [e.ids for e in self.whole.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(i) for i in ids], np.int64)
+        data, off = text_buffer(_marked(texts))
+        starts, ends, owner = _spread(data, off)
+        piece = data[int(off[0]) : int(off[-1])]
+        with np.errstate(over="ignore"):
+            hashes = span_hash(prefix_hash(piece, byte_codes(False)), starts, ends) if len(piece) else np.zeros(0, np.uint64)
+        found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.words.hash) > KNOWN_WORDS:
+            self.words.reset()
+        new = np.flatnonzero(self.words.missing(found))
+        if len(new):
+            raw = piece.tobytes()
+            begin, stop = starts[at[new]], ends[at[new]]
+            # blanks inside a word stand at its start
+            odd = (begin == stop) | (piece[np.minimum(begin, len(piece) - 1)] == 32)
+            for part, line in ((new[~odd], LINE_WORDS), (new[odd], 1)):
+                words = [raw[a:b].decode() for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist(), strict=True)]
+                self.words.add(found[part], *self._encode_words(words, line))
+        spot = np.searchsorted(self.words.hash, found)[which]
+        sizes = self.words.size[spot]
+        return self.words.flat[_ranges(self.words.start[spot], sizes)], np.bincount(owner, weights=sizes, minlength=len(off) - 1).astype(np.int64)
+
+    def _encode_words(self, words: list[str], line: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and each word's number of them.
+
+        Words without blanks go to the library several in a line: each begins at an id with the mark and has no other."""
+        lines = [" ".join(words[i : i + line]) for i in range(0, len(words), line)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat, sizes = np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(i) for i in ids], np.int64)
+        return flat, sizes if line == 1 else np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+
+    def verified(self, texts: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """flat, sizes, and for each whole text: whether the sentencepiece library gives the same ids, and whether the ids
+        stand for the text. A text whose ids don't stand for it is encoded whole and looked at again."""
+        round_trip = self._back(texts, flat, sizes)
+        values = pc.fill_null(texts, "").to_pylist()
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        again = [i for i in np.flatnonzero(~round_trip).tolist() if SPACE_MARK not in values[i]] if self.cuts else []
+        if again:
+            parts = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for i in again:
+                parts[i] = np.array(self.whole.encode(values[i], add_special_tokens=False).ids, np.int32)
+                round_trip[i] = self.decode([parts[i].tolist()])[0] == values[i]
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+        want = self.peer().encode(values, num_threads=1)
+        lengths = np.array([len(w) for w in want], np.int64)
+        parity = lengths == sizes
+        other = np.fromiter(chain.from_iterable(want), np.int32, int(lengths.sum()))
+        if not (parity.all() and (other == flat).all()):
+            ends = np.cumsum(lengths)
+            for i in np.flatnonzero(parity).tolist():
+                parity[i] = (flat[bounds[i] : bounds[i + 1]] == other[ends[i] - lengths[i] : ends[i]]).all()
+        return flat, sizes, parity, round_trip
+
+    def _back(self, texts: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the pieces' own texts, one after another, are each text after the dummy prefix."""
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
         if not self.cuts:
-            return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [self._words(t) for t in texts]
-        known = self._known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-            known[""] = pack(self._blank)
-            self._odd.clear()
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        known.update(zip(new, map(pack, ids), strict=True))
-        if self.verify and new:
-            for w, got, want, back in zip(new, ids, self.peer().encode(new, num_threads=1), self.decode(ids), strict=True):
-                if got != want or back != w:
-                    self._odd[w] = (got == want, back == w)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            ids = [flat[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return np.array([a == b for a, b in zip(self.decode(ids), pc.fill_null(texts, "").to_pylist(), strict=True)], bool)
+        data, off = text_buffer(texts)
+        told = self.told[_ranges(self.start[flat], self.size[flat])]
+        ends = np.concatenate([[0], np.cumsum(self.size[flat])])[bounds]
+        lengths = np.diff(off)
+        prefix = (lengths > 0).astype(np.int64)  # the blank that the dummy prefix gives
+        same = np.diff(ends) == lengths + prefix
+        full = np.flatnonzero(same & (prefix > 0))
+        mine = _ranges(ends[:-1][full] + 1, lengths[full])
+        equal = told[mine] == data[_ranges(off[:-1][full], lengths[full])]
+        if len(full) and not equal.all():
+            same[full] &= np.logical_and.reduceat(equal, np.cumsum(lengths[full]) - lengths[full])
+        return same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(p, np.int32).tolist() for p in self.encode_packed(texts)]
-
-    def verdicts(self, texts: list[str], packed: list[bytes]) -> tuple[list[bool], list[bool]]:
-        """For each text just encoded: whether its ids are those of the sentencepiece library, and decode to the text.
-
-        Where words are encoded apart, both were found for each distinct word, and hold for a text when they hold for
-        its words; elsewhere the whole text is encoded by the other library and decoded.
-        """
-        if not self.cuts:
-            ids = [np.frombuffer(p, np.int32).tolist() for p in packed]
-            return [a == b for a, b in zip(ids, self.peer().encode(texts, num_threads=1), strict=True)], [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
-        marked = [SPACE_MARK not in t for t in texts]  # a mark in the text comes back as a blank
-        if not self._odd:
-            return [True] * len(texts), marked
-        odd = [[self._odd[w] for w in self._words(t) if w in self._odd] for t in texts]
-        return [all(p for p, _ in o) for o in odd], [m and all(r for _, r in o) for m, o in zip(marked, odd, strict=True)]
+        flat, sizes = self.encode_column(pa.array(texts, pa.string()))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return [flat[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return self.whole.decode_batch(ids, skip_special_tokens=False)
 
     def peer(self):
         import sentencepiece
@@ -208,10 +298,22 @@ class Codec:
         return self._peer
 
     def check(self, texts=PROBES) -> None:
-        """Raises unless the ids equal those of the sentencepiece library."""
-        for text, ids, want in zip(texts, self.encode(list(texts)), self.peer().encode(list(texts), num_threads=1), strict=True):
-            if ids != want:
-                raise ValueError(f"encoding differs from sentencepiece for {text[:60]!r}: {ids[:20]} and {want[:20]}")
+        """Raises unless the ids are the sentencepiece library's, and what they stand for is the same by the pieces' own
+        texts and by the tokenizers library's decoder."""
+        column = pa.array(list(texts), pa.string())
+        ids = self.encode(list(texts))
+        for text, got, want in zip(texts, ids, self.peer().encode(list(texts), num_threads=1), strict=True):
+            if got != want:
+                raise ValueError(f"encoding differs from sentencepiece for {text[:60]!r}: {got[:20]} and {want[:20]}")
+        back = self._back(column, *self.encode_column(column))
+        for text, same, told in zip(texts, back.tolist(), self.decode(ids), strict=True):
+            if same != (told == text):
+                raise ValueError(f"decoding differs from the pieces' own texts for {text[:60]!r}")
+
+
+def _marked(texts: pa.Array) -> pa.Array:
+    """Marks in a text count as blanks."""
+    return pc.replace_substring(texts, SPACE_MARK, " ") if pc.any(pc.match_substring(texts, SPACE_MARK)).as_py() else texts
 
 
 def load_model(path: str = MODEL_PATH) -> bytes:
@@ -219,59 +321,60 @@ def load_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def _codec(raw: bytes, threads: int, verify: bool) -> Codec:
-    return worker_cache(f"sp:{threads}:{verify}:" + hashlib.sha256(raw).hexdigest(), lambda: Codec(raw, threads, verify))
+def _codec(raw: bytes, threads: int) -> Codec:
+    return worker_cache(f"sp:{threads}:" + hashlib.sha256(raw).hexdigest(), lambda: Codec(raw, threads))
 
 
 def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", threads: int = 2, verify: bool = True) -> DataFrame:
     """docs with ids array<int>, n_tokens and, with verify, parity and round_trip.
 
-    raw is the model file's content (megabytes at most; it travels with the tasks). Batches of about a megabyte go to the
-    library's threads. A fixed list of texts is held to parity with the sentencepiece library before the job starts;
-    parity tells the same of each row, and round_trip whether decoding gives the text back (true unless the model
-    normalises or trims, or the text holds the mark U+2581).
+    raw is the model file's content (megabytes at most; it travels with the tasks). Pieces of about a megabyte of text go
+    to the library's threads. A fixed list of texts is held to parity before the job starts. With verify, every whole text
+    is encoded by the sentencepiece library too (parity: the same ids) and its ids are put back into text (round_trip:
+    the same bytes; false where the model normalises or trims, or the text holds the mark U+2581).
 
-    Null and empty texts have no ids, and are decoded to the empty text. Columns of docs that have the new names are
-    replaced; all other columns and all rows are kept, repeated ones too.
+    Null and empty texts have no ids, and count as the empty text. All rows are kept, repeated ones too, and an empty
+    table gives none. All columns are kept; one that has a new name (in any case) gets underscores after its own.
     """
     small_batches(docs.sparkSession)
     Codec(raw, threads).check()
     new = {"ids": "array<int>", "n_tokens": "long", **({"parity": "boolean", "round_trip": "boolean"} if verify else {})}
-    raw_text = unused(docs, "_encoded")
-    kept = [n for n in docs.columns if n not in new]
-    base = docs.withColumn(raw_text, F.coalesce(F.col(text_col), F.lit(""))).select(*kept, raw_text)
+    docs = docs.withColumn(unused(docs, "_encoded"), F.coalesce(F.col(text_col), F.lit("")))
+    base = make_room(docs, list(new))
+    kept = base.columns[:-1]
 
     def encode(batches):
-        codec = _codec(raw, threads, verify)
+        codec = _codec(raw, threads)
         for batch in batches:
             for piece in slices(batch, batch.num_columns - 1, 1 << 20):
-                texts = piece.column(piece.num_columns - 1).to_pylist()
-                packed = codec.encode_packed(texts)
-                sizes = np.array([len(p) // 4 for p in packed], np.int64)
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                columns = [pa.ListArray.from_arrays(off, pa.array(flat)), pa.array(sizes)]
+                texts = piece.column(piece.num_columns - 1)
+                flat, sizes = codec.encode_column(texts)
+                verdicts = []
                 if verify:
-                    columns += [pa.array(v, pa.bool_()) for v in codec.verdicts(texts, packed)]
+                    flat, sizes, *verdicts = codec.verified(texts, flat, sizes)
+                off = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns = [pa.ListArray.from_arrays(off, pa.array(flat)), pa.array(sizes), *(pa.array(v, pa.bool_()) for v in verdicts)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kept))), *columns], names=[*kept, *new])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(base.schema[n] for n in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
+    schema = T.StructType([*base.schema.fields[:-1], *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
     return base.mapInArrow(tidied(encode), schema)
 
 
 def decode_documents(encoded: DataFrame, raw: bytes, ids_col: str = "ids", out_col: str = "text", threads: int = 2) -> DataFrame:
-    """encoded with the text that each row's ids stand for; null or empty ids give the empty text."""
+    """encoded with the text that each row's ids stand for; null or empty ids give the empty text.
+
+    All rows and columns are kept; one named as the new one (in any case) gets underscores after its own name. An empty
+    table gives no rows."""
     from pyspark.sql import types as T
 
     small_batches(encoded.sparkSession)
-    held = unused(encoded, "_ids")
-    base = encoded.withColumn(held, F.col(ids_col)).drop(out_col)
-    schema = T.StructType([*(f for f in base.schema.fields if f.name != held), T.StructField(out_col, T.StringType())])
+    base = make_room(encoded.withColumn(unused(encoded, "_ids"), F.col(ids_col)), [out_col])
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField(out_col, T.StringType())])
 
     def decode(batches):
-        codec = _codec(raw, threads, False)
+        codec = _codec(raw, threads)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
