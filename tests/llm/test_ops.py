@@ -230,8 +230,8 @@ def test_brown_lm(docs):
     held = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
     c = collections.Counter(w for i, ws in tokens.items() if i not in held for w in ws)
     n, v = sum(c.values()), len(c)
-    for head in (brown_lm.HEAD, 5):  # the second sends nearly all counts through the join
-        got = {r["doc_id"]: r for r in brown_lm.score_documents(docs, clustered=8, classes=4, head=head).collect()}
+    for frequency in (brown_lm.FREQUENCY, 0.05):  # the second sends nearly all counts through the join
+        got = {r["doc_id"]: r for r in brown_lm.score_documents(docs, classes=4, frequency=frequency, shard_words=8).collect()}
         for i, ws in tokens.items():
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(ws), sum(c[w] > 0 for w in ws), n)
@@ -242,10 +242,74 @@ def test_brown_lm(docs):
     assert brown_lm.score_documents(docs.limit(0)).count() == 0
 
 
-def test_brown_class_probabilities_sum_to_one(docs):
-    rows = docs.select(F.col("text").alias("_text"))
-    model = brown_lm.train(rows, brown_lm.count_words(rows), 8, 4)
-    assert abs((10**model.transitions).sum(axis=1) - 1).max() < 1e-9
+def test_brown_model_and_score(docs):
+    """Classes, transitions, emissions and scores against plain counting."""
+    rows = docs.select("doc_id", F.col("text").alias("_text"))
+    counts = brown_lm.count_words(rows)
+    model = brown_lm.train(rows, counts, classes=4, shard_words=16)
+    known = {r["h"]: (r["c"], r["shape"]) for r in counts.collect()}
+    place = {h: i for i, h in enumerate(model["head"].tolist())}
+    words = {}  # each text's word hashes
+
+    def hashes(t):
+        import pyarrow as pa
+
+        from quorumlake.llm.common import text_buffer, word_hashes
+
+        data, off = text_buffer(pa.array([t]))
+        shapes = []
+        found, _ = word_hashes(data, off, shapes=shapes)
+        return list(zip(found.view(np.int64).tolist(), shapes[0].tolist()))
+
+    kind = lambda h, shape: int(model["classes"][21 + model["ranks"][place[h]]]) if h in place else int(model["classes"][1 + shape])
+    m = np.zeros_like(model["transitions"])
+    for i, t in texts().items():
+        words[i] = hashes(t)
+        chain = [0, *(kind(*w) for w in words[i]), 0]
+        for a, b in zip(chain, chain[1:]):
+            m[a, b] += 1
+    share = (m.sum(axis=0) + 1) / (m.sum() + len(m))
+    want = (m + brown_lm.BETA * share) / (m.sum(axis=1, keepdims=True) + brown_lm.BETA)
+    assert np.abs(10 ** model["transitions"] - want).max() < 1e-9 and np.abs(want.sum(axis=1) - 1).max() < 1e-9
+    assert set(place) == {h for h, (c, _) in known.items() if h != int(brown_lm.END) and c >= brown_lm.MIN_COUNT}
+    # emissions of a class's words and of one unseen word sum to one
+    sums = collections.Counter()
+    for h, (c, shape) in known.items():
+        if h != int(brown_lm.END):
+            sums[kind(h, shape)] += (c + brown_lm.ALPHA) / 10 ** model["emission_totals"][kind(h, shape)]
+    for k, total in sums.items():
+        assert abs(total + brown_lm.ALPHA / 10 ** model["emission_totals"][k] - 1) < 1e-9
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score_documents(docs, held_out=F.lit(False), classes=4, shard_words=16).collect()}
+    for i, ws in words.items():
+        chain = [0, *(kind(*w) for w in ws), 0]
+        score = sum(math.log10(want[a, b]) for a, b in zip(chain, chain[1:]))
+        score += sum(math.log10(known[h][0] + brown_lm.ALPHA) - model["emission_totals"][kind(h, x)] for h, x in ws)
+        assert abs(score - got[i]) < 1e-6
+
+
+def test_brown_exchange_never_loses_likelihood():
+    """Moves one after another raise the likelihood, and its change is what plain recounting gives."""
+    r = np.random.default_rng(3)
+    words, classes, shapes = 30, 5, brown_lm.SHAPES
+    total, symbols = 1 + classes + shapes, 1 + shapes + words
+    pairs = r.poisson(0.4, (symbols, symbols)).astype(float)
+    pairs[21:36, 36:] *= 6
+    of = np.concatenate([[0], 1 + classes + np.arange(shapes), 1 + np.arange(words) % classes])
+
+    def bigrams(of):
+        onto = np.zeros((symbols, total))
+        onto[np.arange(symbols), of] = 1
+        return onto.T @ pairs @ onto
+
+    before, m = brown_lm.likelihood(bigrams(of)), bigrams(of)
+    for s in range(1 + shapes, symbols):
+        counts = np.concatenate([np.bincount(of, weights=pairs[s], minlength=total), np.bincount(of, weights=pairs[:, s], minlength=total), [pairs[s, s]]])
+        best = max(range(1, 1 + classes), key=lambda k: brown_lm.likelihood(bigrams(np.where(np.arange(symbols) == s, k, of))))
+        brown_lm.move_words([(s, np.flatnonzero(counts), counts[counts > 0])], of, m, classes)
+        assert np.abs(m - bigrams(of)).max() < 1e-9
+        now = brown_lm.likelihood(m)
+        assert abs(now - brown_lm.likelihood(bigrams(np.where(np.arange(symbols) == s, best, of)))) < 1e-6 and now >= before - 1e-6
+        before = now
 
 
 def test_toxicity(spark):
