@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import SHAPES, slices, small_batches, text_buffer, tidied, word_hashes, written
 
 #: A word is clustered from this count on, and from this share of all tokens on.
-MIN_COUNT, FREQUENCY = 4, 1e-6
+MIN_COUNT, FREQUENCY = 8, 1e-6
 #: Sweeps of the exchange, at most; it ends before when no word moves.
-SWEEPS = 4
+SWEEPS = 3
 #: Words that one task moves one after another; tasks don't see each other's moves of the same sweep.
 SHARD_WORDS = 2048
 #: Smoothing of emissions (added to each count) and of transitions (weight of the class's own share).
@@ -147,7 +147,8 @@ def move_words(words: list[tuple[int, np.ndarray, np.ndarray]], of: np.ndarray,
     """The class of each word (s, at, n) after each in turn moved to the class, of 1 to `classes`, where the likelihood of
     the class bigrams m is largest. `of` and m are changed by the moves."""
     total, out = len(m), []
-    rows, cols = m.sum(axis=1), m.sum(axis=0)
+    rows, cols, diagonal = m.sum(axis=1), m.sum(axis=0), np.diag(m)
+    told, movable = _f(m), slice(1, 1 + classes)  # told is kept equal to _f(m)
     for s, at, n in words:
         own = int(of[s])
         counts = np.zeros(2 * total + 1)
@@ -156,29 +157,32 @@ def move_words(words: list[tuple[int, np.ndarray, np.ndarray]], of: np.ndarray,
         right[own] -= loop
         left[own] -= loop
         gone, came = right.sum() + loop, left.sum() + loop
+        after, before = np.flatnonzero(right), np.flatnonzero(left)
         m[own] -= right
         m[:, own] -= left
         m[own, own] -= loop
+        told[own], told[:, own] = _f(m[own]), _f(m[:, own])
+        # the sums of a class's row and column but for the word's own part
         rows[own] -= gone
         cols[own] -= came
         rows -= left
         cols -= right
-        after, before = np.flatnonzero(right), np.flatnonzero(left)
-        sides, diagonal = np.arange(total), np.diag(m)
-        by_row = _f(m[:, after] + right[after]) - _f(m[:, after])
-        by_col = _f(m[before] + left[before, None]) - _f(m[before])
+        by_row = _f(m[:, after] + right[after]) - told[:, after]
+        by_col = _f(m[before] + left[before, None]) - told[before]
         gain = by_row.sum(axis=1) + by_col.sum(axis=0)
-        gain[after] -= by_row[after, np.arange(len(after))]
-        gain[before] -= by_col[np.arange(len(before)), before]
-        gain += _f(diagonal + right + left + loop) - _f(diagonal)
-        # a class's row and column sums as they are with the word in it
-        gain -= _f(rows + left + gone) - _f(rows + left) + _f(cols + right + came) - _f(cols + right)
-        best = 1 + int(np.argmax(gain[1 : 1 + classes]))
+        # where row and column meet, both parts and the loops come together
+        both = diagonal + right + left
+        gain += _f(both + loop) - _f(diagonal + right) - _f(diagonal + left) + np.diag(told)
+        sums = np.concatenate([rows + left, cols + right])
+        sums = _f(sums + np.repeat((gone, came), total)) - _f(sums)
+        gain -= sums[:total] + sums[total:]
+        best = 1 + int(np.argmax(gain[movable]))
         if gain[best] <= gain[own] + 1e-9:
             best = own
         m[best] += right
         m[:, best] += left
         m[best, best] += loop
+        told[best], told[:, best] = _f(m[best]), _f(m[:, best])
         rows += left
         cols += right
         rows[best] += gone
