@@ -1,9 +1,13 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Each document's signature gives one posting a coordinate: the pair (coordinate, minimum) as one 64-bit token. Pairs that
-share at least `matches` of the tokens are the candidates; exact set sizes confirm them. Under a global order of tokens
-by frequency, two such documents share a token among the first coordinates - matches + 1 of each, so only these are
-posted (the prefix), and a very frequent token is skipped wherever rarer ones suffice.
+Each set of shingles has a signature: for each coordinate a minimum, and (coordinate, minimum) as one 64-bit token. Sets
+are posted under their tokens. Two sets that share `matches` tokens share one among the first coordinates - matches + 1 of
+each, in the order of the lists' lengths, so only these lists (the prefix) are merged: collisions are counted along them,
+and the longer lists are skipped and only looked up for the pairs that the prefix brings. Pairs with `matches` collisions
+are confirmed on the full sets.
+
+Texts with equal sets are one posting, so copies never pair up. A list isn't paired off: its sets meet the list's most
+central set first, and after that only sets of different components meet each other.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ SHINGLE = 5
 COORDINATES = 64
 #: Of 64 coordinates a pair at the similarity of 0.85 shares 36 or more but for one pair in ten million.
 MATCHES = 36
+#: Lists up to this length are paired off between components; longer ones are compared in blocks.
+SHORT_LIST = 64
+#: Pairs of one set that meet its copy of signature or shingles in one task.
+HUB_PAIRS = 500
 #: Shingles that one task compares at a time; larger groups are dealt out as pairs of blocks.
 BLOCK_SHINGLES = 400_000
 
@@ -86,14 +94,16 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, matches: int, percent: int, coordinates: int) -> list[tuple[int, int]]:
-    """Links enough to join up all that are linked: a spanning forest of the pairs over the threshold.
+def linked(sets: list[np.ndarray], side: np.ndarray, roots: list[int], matches: int, percent: int, coordinates: int) -> list[tuple[int, int]]:
+    """Links enough to join up all that are linked, given what roots join up already: a spanning forest of the pairs over
+    the threshold.
 
     With both sides present (a pair of blocks) only pairs across are looked at. Candidates by signature are confirmed on
     the full sets, the likeliest first; a pair already joined up needs no look.
     """
     signed = signatures(sets, coordinates)
-    parent, out = list(range(len(sets))), []
+    first: dict[int, int] = {}
+    parent, out = [first.setdefault(r, i) for i, r in enumerate(roots)], []
     across = bool(side.any()) and not side.all()
     for i in range(1, len(sets)):
         shared = (signed[:i] == signed[i]).sum(axis=1)
@@ -111,18 +121,37 @@ def linked(sets: list[np.ndarray], side: np.ndarray, matches: int, percent: int,
     return out
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _beside(pairs: DataFrame, key: str, values: DataFrame, column: str, out: str, hub: int) -> DataFrame:
+    """pairs with values' column of `key`. A key of many pairs (n of them at most) is dealt over n / hub tasks, each with
+    a copy of its value."""
+    salted = pairs.withColumn("_copies", F.ceil(F.col("n") / hub).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_copies")).cast("int"))
+    wanted = salted.select(key, "_copies", "_salt").distinct()
+    copies = wanted.join(values.select(F.col("id").alias(key), F.col(column).alias(out)), key)
+    return salted.join(copies, [key, "_copies", "_salt"]).drop("_copies", "_salt")
+
+
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = SHINGLE,
+    percent: int = 85,
+    coordinates: int = COORDINATES,
+    matches: int = MATCHES,
+    short_list: int = SHORT_LIST,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs of other than \\x20 and \\x09-\\x0D, A-Z lower-cased; a text's set holds its distinct k-word shingles
     (all words as one when fewer). Texts are linked when 100 * intersection >= percent * union; component_id is the
     smallest id reachable, kept tells whether it is the row's own.
 
-    Texts with equal sets are one node, so copies never pair up. Nodes that share a prefix token make groups; a group is
-    compared in one task, or in pairs of blocks of bounded size when it is large, and each task returns a spanning
-    forest rather than all pairs. Null and empty texts have no shingles and are linked with nothing. A null id is larger
-    than any other: it is nobody's component_id unless all of the component are null. Repeated ids are separate rows;
-    those with equal sets get equal results. An empty table gives no rows; other columns are ignored.
+    Only links that join components are looked for, so neither copies nor groups of near copies give all their pairs.
+    Lists longer than `short_list` that still hold several components are compared in blocks of bounded size, each task
+    giving a spanning forest. Null and empty texts have no shingles and are linked with nothing. A null id is larger than
+    any other: it is nobody's component_id unless all of the component are null. Repeated ids are separate rows; those
+    with equal sets get equal results. An empty table gives no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -139,49 +168,95 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
     signed = written(rows.mapInArrow(tidied(sign), f"doc_id {id_type}, n_shingles long, node binary, tokens array<long>"))
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles")))
-    # the tokens of one row of each node: rows with the node's smallest id (null ids: any)
-    tokens = signed.where("node is not null").select("node", "doc_id", "tokens").join(nodes.select("node", "low"), "node").where("doc_id <=> low").select("node", F.explode("tokens").alias("token")).distinct()
-    frequent = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(frequent, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared")).where(F.size("shared") >= matches)  # `coordinates` entries at most
-    # tokens that no other node has come first in the order and needn't be posted
-    posts = written(shared.select("node", F.explode(F.expr(f"slice(shared, 1, size(shared) - {matches} + 1)")).alias("p")).select("node", F.col("p.token").alias("token")))
-    leaders = posts.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("token", "leader")
-    groups = written(components(posts.join(leaders, "token").select(F.col("node").alias("a"), F.col("leader").alias("b"))).join(nodes, "node").select("node", F.col("root").alias("group"), "low", "n_shingles"))
-
-    # A group's blocks hold block_shingles on average; each pair of blocks is a task of its own.
-    blocks = groups.groupBy("group").agg(F.sum("n_shingles").alias("total")).select("group", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = dealt.select("node", "group", "low", "own", other.alias("other")).select("node", "low", "group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("side"))
-
-    def resolve(batches):
-        for batch in batches:
-            for piece, sets in _sets(batch, 1, k):
-                keep = [i for i, s in enumerate(sets) if len(s)]
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(keep, pa.int64())), pa.array([fingerprint(sets[i]) for i in keep], pa.binary()), _list_column([sets[i] for i in keep])], names=["low", "node", "shingles"])
+    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"))
+    nodes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+
+    # Postings. A token of one set can't collide; a set with fewer than `matches` others has no partner.
+    tokens = nodes.select("id", F.explode("tokens").alias("token"))
+    lengths = tokens.groupBy("token").count().where("count > 1")
+    shared = tokens.join(lengths, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"), F.sum("count").alias("weight")).where(F.size("shared") >= matches)  # `coordinates` entries at most
+    prefix = F.explode(F.expr(f"slice(shared, 1, size(shared) - {matches} + 1)"))
+    posts = written(shared.select("id", "weight", prefix.alias("p")).select("id", "weight", F.col("p.token").alias("token")))
+    lists = posts.groupBy("token").agg(F.max(F.struct("weight", "id"))["id"].alias("lead"), F.count("*").alias("n")).where("n > 1")
+    others = written(posts.join(lists, "token").where("id != lead").select("token", "id", "lead", "n"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs (a, b, n) with `matches` collisions, linked on their full sets."""
+        met = _beside(_beside(pairs, "a", nodes, "tokens", "_x", HUB_PAIRS), "b", nodes, "tokens", "_y", HUB_PAIRS)
+        near = written(met.where(F.size(F.array_intersect("_x", "_y")) >= matches).select("a", "b", "n"))
+        sets = written(full_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        met = _beside(_beside(near, "a", sets, "shingles", "_x", HUB_PAIRS), "b", sets, "shingles", "_y", HUB_PAIRS)
+        both = F.size(F.array_intersect("_x", "_y"))
+        return met.where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """(id, shingles) of the nodes wanted, from one text of each."""
+
+        def resolve(batches):
+            for batch in batches:
+                for piece, sets in _sets(batch, 1, k):
+                    keep = [i for i, s in enumerate(sets) if len(s)]
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(keep, pa.int64())), pa.array([fingerprint(sets[i]) for i in keep], pa.binary()), _list_column([sets[i] for i in keep])], names=["low", "node", "shingles"])
+
+        named = nodes.join(wanted, "id").select("id", "node", F.col("low").alias("_low"))
+        places = written(named.withColumn("_key", F.xxhash64("_low")))
+        candidates = maybe_in(rows.withColumn("_key", F.xxhash64("doc_id")), "_key", places).select("doc_id", "_text")
+        found = candidates.mapInArrow(tidied(resolve), f"low {id_type}, node binary, shingles array<long>").join(places, "node").where("low <=> _low")
+        return found.select("id", "shingles").dropDuplicates(["id"])
+
+    star = others.groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
+    links = written(confirmed(star))
+
+    # What is left: sets of a list, apart from its lead, that are in different components.
+    roots = written(components(links))
+    rest = others.select("token", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
+    split = rest.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y").select("token", "n")
+    rest = written(rest.join(split, "token"))
+    short = rest.where(F.col("n") <= short_list)
+    one, two = (short.select("token", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "x"), ("b", "y")))
+    pairs = one.join(two, "token").where("a < b and x != y").groupBy("a", "b").agg(F.lit(short_list).alias("n"))
+    more = written(confirmed(pairs))
+    links = links.unionByName(more)
+
+    long = written(rest.where(F.col("n") > short_list).select("token", "id"))
+    if not long.isEmpty():
+        links = links.unionByName(written(_in_blocks(long, components(links), nodes, full_sets, matches, percent, coordinates, block_shingles)))
+
+    found = components(links)
+    lows = found.join(nodes.select(F.col("id").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = nodes.select("node", F.col("id"), "low").join(found.select(F.col("node").alias("id"), "root"), "id", "left").join(lows, "root", "left")
+    # a class of one row needs no look-up: only rows of linked or repeated sets meet their component
+    labels = named.select("node", F.coalesce("component_id", "low").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
-    wanted = groups.select(F.xxhash64("low").alias("_key")).distinct()
-    candidates = maybe_in(rows.withColumn("_key", F.xxhash64("doc_id")), "_key", wanted).select("doc_id", "_text")
-    members = candidates.mapInArrow(tidied(resolve), f"low {id_type}, node binary, shingles array<long>").join(groups.select("node", F.col("low").alias("_low")), "node").where("low <=> _low").select("node", "shingles").dropDuplicates(["node"])
-    work = members.join(dealt, "node").select("group", "x", "y", "side", "node", "shingles")
+
+def _in_blocks(long: DataFrame, roots: DataFrame, nodes: DataFrame, full_sets, matches: int, percent: int, coordinates: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) between the components of long lists (token, id).
+
+    Lists that meet are one group; its blocks hold block_shingles on average, and each pair of blocks is a task of its
+    own that returns a spanning forest."""
+    firsts = long.groupBy("token").agg(F.min("id").alias("first"))
+    groups = components(long.join(firsts, "token").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    members = nodes.join(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id").select("id", "group", "n_shingles")
+    members = written(members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    blocks = members.groupBy("group").agg(F.sum("n_shingles").alias("total")).select("group", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("id", "root", "group", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("id", "root", "group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("side"))
+    work = written(full_sets(members.select("id"))).join(dealt, "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        names = table.column("node").to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
+        table = table.sort_by("id")
+        ids = table.column("id").to_pylist()
         lists = table.column("shingles").combine_chunks()
         flat, off = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-        side = np.array(table.column("side").to_pylist(), bool)[order] if names else np.zeros(0, bool)
-        links = linked([flat[off[i] : off[i + 1]] for i in order], side, matches, percent, coordinates)
-        return pa.table({"a": pa.array([names[order[i]] for i, _ in links], pa.binary()), "b": pa.array([names[order[j]] for _, j in links], pa.binary())})
+        sets = [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        found = linked(sets, np.array(table.column("side").to_pylist(), bool), table.column("root").to_pylist(), matches, percent, coordinates)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
-    links = work.groupBy("group", "x", "y").applyInArrow(compare, "a binary, b binary")
-    found = components(links)
-    lows = found.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = nodes.join(found, "node", "left").join(lows, "root", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return work.groupBy("group", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
