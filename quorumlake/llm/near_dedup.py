@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import components, flag_in, maybe_in, mix, slices, small_batches, text_buffer, tidied, word_hashes, written
+from quorumlake.llm.common import components, flag_in, join_hot, maybe_in, mix, slices, small_batches, text_buffer, tidied, word_hashes, written
 
 SHINGLE = 5
 COORDINATES = 64
@@ -168,7 +168,7 @@ def near_dedup(
                 )
 
     signed = written(rows.mapInArrow(tidied(sign), f"doc_id {id_type}, n_shingles long, node binary, tokens array<long>"))
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"))
+    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"), F.count("*").alias("copies"))
     nodes = written(classes.withColumn("id", F.monotonically_increasing_id()))
 
     # Postings. A token of one set can't collide; a set with fewer than `matches` others has no partner.
@@ -215,19 +215,17 @@ def near_dedup(
     short = rest.where(F.col("n") <= short_list)
     one, two = (short.select("token", F.col("id").alias(i), F.col("root").alias(r)) for i, r in (("a", "x"), ("b", "y")))
     pairs = one.join(two, "token").where("a < b and x != y").groupBy("a", "b").agg(F.lit(short_list).alias("n"))
-    more = written(confirmed(pairs))
-    links = links.unionByName(more)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(pairs))
 
     long = written(rest.where(F.col("n") > short_list).select("token", "id"))
+    found = written(components(links))
     if not long.isEmpty():
-        links = links.unionByName(written(_in_blocks(long, components(links), nodes, full_sets, matches, percent, coordinates, block_shingles)))
-
-    found = components(links)
+        across = _in_blocks(long, found, nodes, full_sets, matches, percent, coordinates, block_shingles)
+        found = written(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)))
     lows = found.join(nodes.select(F.col("id").alias("node"), "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = nodes.select("node", F.col("id"), "low").join(found.select(F.col("node").alias("id"), "root"), "id", "left").join(lows, "root", "left")
-    # a class of one row needs no look-up: only rows of linked or repeated sets meet their component
-    labels = named.select("node", F.coalesce("component_id", "low").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    named = nodes.select("node", "id", "low", "copies").join(found.select(F.col("node").alias("id"), "root"), "id", "left").join(lows, "root", "left")
+    labels = written(named.select("node", F.coalesce("component_id", "low").alias("component_id"), "copies"))
+    out = join_hot(signed.select("doc_id", "n_shingles", "node"), labels, "node", "copies", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

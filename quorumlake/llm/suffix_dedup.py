@@ -8,9 +8,12 @@ their minimizer (the leftmost smallest hash of a gram in them), at the same plac
 the `length` bytes that start there, a run of consecutive positions with one minimizer as one fragment:
 
 1. Minimizers are counted; those that occur once can't open a repeat and are gone.
-2. Equal fragments (same minimizer, same bytes) are one, with their first place. All later copies are wholly repeats.
-3. Where a minimizer has several different fragments, the first places' bytes are sorted as suffixes by task, and the
-   longest-previous-factor array tells which of their positions open a repeat.
+2. Equal fragments (same minimizer, and two 64-bit hashes of the bytes) are one, with their first place. All later copies
+   are wholly repeats. Equal fragments side by side, as in periodic text, are one row.
+3. Where a minimizer has several different fragments, their bytes are put in suffix order by task, with the lengths that
+   neighbours share, and the longest-previous-factor array tells which positions open a repeat.
+4. A minimizer with very many different fragments has them cut to single positions, which are dealt out by their own
+   strings: equal ones are one again, and nothing is left to sort.
 """
 
 from __future__ import annotations
@@ -22,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import byte_codes, flag_in, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffer, tidied, written
+from quorumlake.llm.common import byte_codes, flag_in, join_hot, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffer, tidied, written
 
 LENGTH, GRAM = 100, 32
-#: Window starts handled at a time; a place among them takes 20 bits.
+#: Window starts handled at a time, from a text's own start; a place among them takes 20 bits.
 RANGE = 1_000_000
 #: 64-bit words of the bitmaps that tell tasks which minimizers matter: a fixed size at any input.
 BITMAP_WORDS = 1 << 19
 #: Different fragments of one minimizer that one task sorts; more are dealt out by the hash of each string.
 TOGETHER = 4096
 #: Bytes of fragments sorted at a time.
-SORTED_BYTES = 1 << 21
+SORTED_BYTES = 1 << 20
 
 
 def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -59,14 +62,35 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _chunks(off: np.ndarray, length: int):
+    """(first, last byte) of ranges of whole texts, or of parts of a long one, so that a text is always cut alike."""
+    begin = int(off[0])
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        if b - begin <= RANGE:
+            continue
+        if a > begin:
+            yield begin, a
+        begin = a
+        while b - begin > RANGE:
+            yield begin, min(begin + RANGE + length - 1, b)
+            begin += RANGE
+        if a < begin:  # the rest of a long text
+            yield begin, b
+            begin = b
+    if begin < int(off[-1]):
+        yield begin, int(off[-1])
+
+
 def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(minimizer hash, fragment hash, text number, start in the text, positions) of the fragments of consecutive texts."""
-    span, first, last = length - gram + 1, int(off[0]), int(off[-1])
+    """(minimizer hash, fragment hash, text number, start in the text, positions, times) of the fragments of consecutive
+    texts; a fragment that comes several times side by side is one with its times."""
+    span = length - gram + 1
     codes = byte_codes(False)
-    for lo in range(first, max(first, last - length + 1), RANGE):
-        hi = min(lo + RANGE + length - 1, last)
+    for lo, hi in _chunks(off, length):
         piece = data[lo:hi]
         windows = len(piece) - length + 1
+        if windows <= 0:
+            continue
         cs = prefix_hash(piece, codes)
         _, q = powers(len(piece) + 1)
         grams = len(piece) - gram + 1
@@ -90,38 +114,83 @@ def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
         chosen = at[place]
         new = np.flatnonzero((np.diff(chosen) != 0) | (np.diff(place) != 1)) + 1
         a, b = place[np.concatenate([[0], new])], place[np.concatenate([new - 1, [len(place) - 1]])]
+        h, f, n = code[at[a]], span_hash(cs, a, b + length), b - a + 1
         number = np.searchsorted(off, a + lo, "right") - 1
-        yield code[at[a]], span_hash(cs, a, b + length), number, a + lo - off[number], b - a + 1
-
-
-def repeats(pieces: list[bytes], positions: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
+        again = (h[1:] == h[:-1]) & (f[1:] == f[:-1]) & (n[1:] == n[:-1]) & (number[1:] == number[:-1]) & (a[1:] == b[:-1] + 1)
+        first = np.concatenate([[0], np.flatnonzero(~again) + 1])
+        times = np.diff(np.append(first, len(a)))
+        yield h[first], f[first], number[first], a[first] + lo - off[number[first]], n[first], times
+
+
+def suffix_order(buffer: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the positions of buffer, where the suffix at i has left[i] bytes, and the lengths that neighbours in
+    it share (0 first). Equal suffixes stand by position.
+
+    Ranks by the first 4, 8, 16.. bytes are made from each other until the longest suffix is covered; they also give the
+    shared lengths, largest step first."""
+    n = len(buffer)
+    padded = np.concatenate([buffer.astype(np.int64) + 1, np.zeros(4, np.int64)])
+    key = np.zeros(n, np.int64)
+    for j in range(4):
+        key = key * 257 + np.where(left > j, padded[j : j + n], 0)
+    levels, width = [], 4
+    while True:
+        order = np.argsort(key, kind="stable")
+        step = np.concatenate([[0], np.diff(key[order]) != 0])
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(step)
+        levels.append((width, rank))
+        if width >= int(left.max(initial=0)) or int(rank.max(initial=0)) == n - 1:
+            break
+        behind = np.concatenate([rank[width:], np.zeros(min(width, n), np.int32)])[:n].astype(np.int64) + 1
+        key = rank.astype(np.int64) * (n + 1) + np.where(left > width, behind, 0)
+        width *= 2
+    shared = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    limit = np.minimum(left[a], left[b])
+    got = np.zeros(len(a), np.int64)
+    for width, rank in [*reversed(levels), *[(1, None)] * 3]:
+        on = got < limit
+        i, j = np.where(on, a + got, 0), np.where(on, b + got, 0)
+        same = (rank[i] == rank[j]) if rank is not None else (buffer[i] == buffer[j])
+        got += np.where(on & same, width, 0)
+    shared[1:] = np.minimum(got, limit)
+    return order, shared
+
+
+def repeats(pieces: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(piece, first, last position) of the runs of positions that open a repeat of an earlier piece or place.
 
-    pieces are in corpus order; piece i has positions[i] positions, each with `length` bytes from it on.
+    pieces are in corpus order; a position of a piece has `length` bytes from it on.
     """
-    sizes = np.array(positions, np.int64)
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])[:-1]
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    if not len(sizes):
+        return []
     owner = np.repeat(np.arange(len(pieces)), sizes)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    buffer = np.frombuffer(b"".join(pieces), np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(buffer, length)[begin[owner] + inner]
-    order = np.argsort(np.ascontiguousarray(strings).view(f"S{length}").ravel(), kind="stable")
-    ranked = strings[order]
-    same = np.concatenate([[False], (ranked[1:] == ranked[:-1]).all(axis=1), [False]])
-    # suffixes that share `length` bytes with no neighbour open nothing: only runs of alike ones go on
-    alike = same[:-1] | same[1:]
-    if not alike.any():
+    order, shared = suffix_order(np.frombuffer(b"".join(pieces), np.uint8), sizes[owner] - inner)
+    # a suffix that shares `length` bytes with no neighbour opens nothing and parts those about it: only others go on
+    near = np.maximum(shared, np.append(shared[1:], 0)) >= length
+    if not near.any():
         return []
-    kept = order[alike]
+    kept, at = order[near], np.flatnonzero(near)
+    between = np.minimum.reduceat(shared[: at[-1] + 1], np.append(0, at[:-1] + 1))
     numbers = np.sort(kept)
-    opens = np.zeros(len(owner), bool)
-    opens[numbers] = longest_previous_factor(np.searchsorted(numbers, kept), np.where(same[:-1][alike], length, 0)) >= length
-    hit = np.flatnonzero(opens)
+    opens = longest_previous_factor(np.searchsorted(numbers, kept), between) >= length
+    hit = numbers[opens]
+    if not len(hit):
+        return []
     new = np.flatnonzero((np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)) + 1
     firsts, lasts = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
     return list(zip(owner[firsts].tolist(), inner[firsts].tolist(), inner[lasts].tolist(), strict=True))
 
 
+def _digests(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """64 bits of a cryptographic hash of each span."""
+    raw = b"".join(hashlib.blake2b(data[a : a + n], digest_size=8).digest() for a, n in zip(begin.tolist(), size.tolist(), strict=True))
+    return pa.array(np.frombuffer(raw, np.int64))
+
+
 def _bitmap(keys: DataFrame, key: str, words: int) -> np.ndarray:
     """A one-hash bitmap of the keys, `words` * 8 bytes at any input size, as it goes to every task."""
     slot = F.col(key).bitwiseAND(F.lit(words * 64 - 1))
@@ -144,12 +213,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
 
     def count(batches):
         def summed(parts):
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            keys, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found, where = np.unique(keys, return_inverse=True)
+            n = np.bincount(where, weights=times)
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
         parts, size = [], 0
-        for h, *_ in (f for batch in batches for piece in slices(batch, 0) for f in fragments(*text_buffer(piece.column(0)), length, gram)):
-            parts.append(h)
+        for h, *_, times in (f for batch in batches for piece in slices(batch, 0) for f in fragments(*text_buffer(piece.column(0)), length, gram)):
+            parts.append((h, times))
             size += len(h)
             if size > 1_000_000:
                 yield summed(parts)
@@ -163,29 +234,36 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
     def place(batches):
         for batch in batches:
             for piece in slices(batch, 2):
-                for h, f, number, start, n in fragments(*text_buffer(piece.column(2)), length, gram):
-                    keep = _among(h, wanted.value)
+                data, off = text_buffer(piece.column(2))
+                for h, f, number, start, n, times in fragments(data, off, length, gram):
+                    keep = np.flatnonzero(_among(h, wanted.value))
                     take = pa.array(number[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(f[keep].view(np.int64)), piece.column(0).take(take), piece.column(1).take(take), pa.array(start[keep]), pa.array(n[keep].astype(np.int32))], names=["h", "f", "doc_id", "_fp", "at", "n"])
-
-    placed = written(rows.select("doc_id", "_fp", "_text").mapInArrow(tidied(place), f"h long, f long, doc_id {kind}, _fp long, at long, n int"))
-    firsts = placed.groupBy("h", "f").agg(F.min(F.struct("doc_id", "_fp", "at")).alias("first"), F.count("*").alias("places"), F.max("n").alias("n"))
-    firsts = written(firsts.select("h", "f", "first.*", "places", "n"))
-
-    # later copies of a fragment: repeats throughout
-    again = firsts.where("places > 1").select("h", "f", F.col("doc_id").alias("_d"), F.col("_fp").alias("_p"), F.col("at").alias("_a"))
-    later = placed.join(again, ["h", "f"]).where("not (doc_id <=> _d and _fp = _p and at = _a)").select("doc_id", "_fp", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[keep].view(np.int64)), pa.array(f[keep].view(np.int64)), _digests(data, off[number[keep]] + start[keep], n[keep] + length - 1), piece.column(0).take(take), piece.column(1).take(take), *(pa.array(x[keep]) for x in (start, n, times))],
+                        names=["h", "f", "g", "doc_id", "_fp", "at", "n", "times"],
+                    )
+
+    placed = written(rows.select("doc_id", "_fp", "_text").mapInArrow(tidied(place), f"h long, f long, g long, doc_id {kind}, _fp long, at long, n long, times long"))
+    firsts = placed.groupBy("h", "f", "g").agg(F.min(F.struct("doc_id", "_fp", "at")).alias("first"), F.sum("times").alias("places"), F.count("*").alias("rows"))
+    firsts = written(firsts.select("h", "f", "g", "first.*", "places", "rows"))
+
+    # later copies of a fragment: repeats throughout, but for the first place
+    again = firsts.where("places > 1").select("h", "f", "g", F.col("doc_id").alias("_d"), F.col("_fp").alias("_p"), F.col("at").alias("_a"), "rows")
+    keyed = F.struct("h", "f", "g")
+    met = join_hot(placed.withColumn("_k", keyed), again.withColumn("_k", keyed).drop("h", "f", "g"), "_k", "rows")
+    whole_copy = F.expr("not (doc_id <=> _d and _fp = _p and at = _a)")
+    later = met.where(whole_copy | (F.col("times") > 1)).select("doc_id", "_fp", F.when(whole_copy, F.col("at")).otherwise(F.col("at") + F.col("n")).alias("lo"), (F.col("at") + F.col("n") * F.col("times") - 1 + length).alias("hi"))
 
     # different fragments of one minimizer
-    contexts = firsts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    several = written(firsts.join(contexts, "h").select("h", "f", "doc_id", "_fp", "at", "contexts"))
+    contexts = written(firsts.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    several = written(join_hot(firsts, contexts.withColumn("_weight", F.col("contexts")), "h", "_weight").select("h", "f", "g", "doc_id", "_fp", "at", "contexts"))
     read = context.broadcast(_bitmap(several.select(F.col("h").bitwiseXOR(F.col("f")).alias("k")), "k", words))
 
     def cut(batches):
         for batch in batches:
             for piece in slices(batch, 2):
                 data, off = text_buffer(piece.column(2))
-                for h, f, number, start, n in fragments(data, off, length, gram):
+                for h, f, number, start, n, _ in fragments(data, off, length, gram):
                     keep = np.flatnonzero(_among(h ^ f, read.value))
                     take = pa.array(number[keep])
                     begin = off[number[keep]] + start[keep]
@@ -194,7 +272,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
 
     key = several.select(F.col("h").alias("_h"), F.col("f").alias("_f"), F.col("doc_id").alias("_d"), F.col("_fp").alias("_p"), F.col("at").alias("_a"), "contexts")
     cuts = rows.select("doc_id", "_fp", "_text").mapInArrow(tidied(cut), f"h long, f long, doc_id {kind}, _fp long, at long, raw binary")
-    whole = written(cuts.join(key, F.expr("h = _h and f = _f and doc_id <=> _d and _fp = _p and at = _a")).select("h", "f", "doc_id", "_fp", "at", "raw", "contexts").dropDuplicates(["h", "f"]))
+    whole = written(cuts.join(key, F.expr("h = _h and f = _f and doc_id <=> _d and _fp = _p and at = _a")).select("h", "f", "doc_id", "_fp", "at", "raw", "contexts").dropDuplicates(["h", "f", "at", "doc_id", "_fp"]))
 
     def sort(batches):
         held: list[pa.RecordBatch] = []
@@ -202,7 +280,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
         def solve(table: pa.Table):
             ids, fps, ats, raws = (table.column(c).to_pylist() for c in ("doc_id", "_fp", "at", "raw"))
             ordered = sorted(range(len(raws)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0, fps[i], ats[i]))
-            found = repeats([raws[i] for i in ordered], [len(raws[i]) - length + 1 for i in ordered], length)
+            found = repeats([raws[i] for i in ordered], length)
             at = [ordered[p] for p, _, _ in found]
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids[i] for i in at], table.schema.field("doc_id").type), pa.array([fps[i] for i in at], pa.int64()), pa.array([ats[i] + a for i, (_, a, _) in zip(at, found, strict=True)], pa.int64()), pa.array([ats[i] + b + length for i, (_, _, b) in zip(at, found, strict=True)], pa.int64())],

@@ -127,6 +127,38 @@ def test_suffix_dedup(docs):
         assert got == want
 
 
+def test_suffix_order():
+    r = random.Random(5)
+    for pieces in ([b"abab" * 30, b"ab" * 61, b"b", b"", b"xabab"], [b"a" * 300, b"a" * 150], [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(40)], [b""], [b"\x00\xff\x00"]):
+        suffixes = [p[i:] for p in pieces for i in range(len(p))]
+        left = np.array([len(s) for s in suffixes], np.int64)
+        order, shared = suffix_dedup.suffix_order(np.frombuffer(b"".join(pieces), np.uint8), left)
+        assert order.tolist() == sorted(range(len(suffixes)), key=lambda i: (suffixes[i], i))
+        for a, b, n in zip(order, order[1:], shared[1:]):
+            x, y = suffixes[a], suffixes[b]
+            assert x[:n] == y[:n] and (len(x) == n or len(y) == n or x[n] != y[n])
+        for length in (2, 7):
+            seen, want = set(), []
+            for k, p in enumerate(pieces):
+                for i in range(len(p) - length + 1):
+                    if p[i : i + length] in seen:
+                        want.append((k, i))
+                    seen.add(p[i : i + length])
+            assert [(k, i) for k, a, b in suffix_dedup.repeats(pieces, length) for i in range(a, b + 1)] == want
+
+
+def test_suffix_dedup_of_periodic_and_long_texts(spark):
+    """A run of a million equal bytes is a handful of rows, and long texts are cut alike wherever they stand."""
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_200_000))
+    rows = [(1, "z" * 1_000_000), (2, "xy!" * 70_000), (3, "short"), (4, long), (5, "y" + long[500_000:1_150_000]), (6, "z" * 150 + "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {1: (999_999, 1), 2: (209_997, 1), 3: (0, 0), 4: (0, 0), 5: (650_000, 1), 6: (150, 1)}
+    h, *_, times = zip(*suffix_dedup.fragments(np.frombuffer(b"z" * 900_000, np.uint8), np.array([0, 900_000])))
+    assert sum(map(len, h)) == 1 and sum(t.sum() for t in times) == 899_901
+
+
 def test_longest_previous_factor():
     import numpy as np
 
