@@ -30,10 +30,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = f"[0-9][0-9{_MARK}]{{7,}}+"
 MASKED = r"(?i)[a-z0-9._%+-]{1,64}\x20?[\[({]\x20?at\x20?[\])}]\x20?[a-z0-9-]{1,63}(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\.)[a-z]{2,24}"
 
-#: Rows of generated examples that the trees are fitted and calibrated on.
-FIT_ROWS = 4000
+#: Generated examples that each kind's trees are fitted on, and as many that its threshold is calibrated on.
+FIT_ROWS = 2000
 ROUNDS, RATE = 24, 0.4
-FEATURES = ("digits", "marks", "luhn", "zero", "variety", "personal", "other", "left", "masked")
+#: Lowest precision on the calibration examples.
+PRECISION = 0.95
+FEATURES = {
+    "number": ("digits", "marks", "groups", "luhn", "zero", "variety", "personal", "other", "left"),
+    "masked_email": ("common_domain", "brackets", "spaced_dot", "local_length", "personal", "other", "left"),
+}
 
 # Words before a number that speak for and against a person's number, in four languages.
 PERSONAL = "ssn|social|passport|account|acct|iban|card|phone|tel|mobile|call|fax|id|licen[cs]e|konto|ausweis|telefon|steuer|compte|carte|passeport|cuenta|tarjeta|pasaporte|dni|t[ée]l[ée]fono"
@@ -41,20 +46,36 @@ DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|eu|uk|co"
 OTHER = "order|invoice|version|page|figure|isbn|issn|doi|total|price|eur|usd|born|year|since|line|serial|sku|part|seite|preis|prix|precio|commande|factura|build|commit"
 
 
-def _located(view: Column, pattern: str) -> Column:
-    """The matches of `pattern` in `view` as an array of (start, stop, value, before), offsets in code points."""
-    empty = F.expr("cast(array() as array<struct<start:int,stop:int,value:string,before:string>>)")
-    parts = F.split(view, pattern, -1)
-    each = F.arrays_zip(parts.alias("gap"), F.regexp_extract_all(view, F.lit(pattern), F.lit(0)).alias("hit"))
+_SPAN = "struct<start:int,stop:int,value:string,before:string>"
+#: Matches that are located at a time; arrays that grow are copied with every step.
+LOCATED = 512
+
+
+def _parts(view: Column, pattern: str) -> Column:
+    """The matches of `pattern` in `view`, each with what is between it and the one before; the rest without a match."""
+    none = F.expr("cast(array() as array<struct<gap:string,hit:string>>)")
+    parts = F.arrays_zip(F.split(view, pattern, -1).alias("gap"), F.regexp_extract_all(view, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.when(view.rlike(pattern), parts).otherwise(none)
+
+
+def _located(parts: Column) -> Column:
+    """The matches as an array of (start, stop, value, before), offsets in code points. Blocks of matches are located from
+    their own start and then moved. parts must be a column of its own, as it is looked up for each block."""
+    empty = F.expr(f"cast(array() as array<{_SPAN}>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
-        stop = start + F.char_length(x["hit"])
+        stop = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
         found = F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("value"), F.right(x["gap"], F.lit(24)).alias("before"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.array_append(acc["out"], found).alias("out")))
+        return F.struct(stop.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"))
+
+    def moved(acc: Column, block: Column) -> Column:
+        spans = F.transform(block["out"], lambda s: F.struct((acc["at"] + s["start"]).alias("start"), (acc["at"] + s["stop"]).alias("stop"), s["value"].alias("value"), s["before"].alias("before")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], spans).alias("out"))
 
-    whole = F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(view.rlike(pattern), whole).otherwise(empty)
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(LOCATED)), lambda i: F.aggregate(F.slice(parts, i, LOCATED), begin, step))
+    return F.when(F.size(parts) == 0, empty).otherwise(F.aggregate(blocks, begin, moved, lambda acc: acc["out"]))
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,15 +100,10 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
             "_number_view": F.when(text.rlike("[0-9]{2}|[0-9][ -][0-9]"), F.regexp_replace(clean, r"(?<=[0-9])[\x20-](?=[0-9])", _MARK)).otherwise(""),
         }
     )
-    located = with_views.withColumns(
-        {
-            "_email": _located(F.col("_mail_view"), EMAIL),
-            "_ip": _located(F.col("_text"), IP),
-            "_numbers": _located(F.col("_number_view"), NUMBER),
-            "_phone": _located(F.col("_text"), PHONE),
-            "_masked": F.when(F.contains(F.col("_text"), F.lit("at")) & F.col("_text").rlike(r"(?i)[\[({]\x20?at\x20?[\])}]"), _located(F.col("_text"), MASKED)).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,value:string,before:string>>)")),
-        }
-    )
+    masked_view = F.when(F.contains(F.col("_text"), F.lit("at")) & F.col("_text").rlike(r"(?i)[\[({]\x20?at\x20?[\])}]"), F.col("_text")).otherwise("")
+    views = {"email": (F.col("_mail_view"), EMAIL), "ip": (F.col("_text"), IP), "numbers": (F.col("_number_view"), NUMBER), "phone": (F.col("_text"), PHONE), "masked": (masked_view, MASKED)}
+    parted = with_views.withColumns({f"_p_{kind}": _parts(*view) for kind, view in views.items()})
+    located = parted.withColumns({f"_{kind}": _located(F.col(f"_p_{kind}")) for kind in views})
     is_card = lambda s: F.char_length(_digits(s["value"])).between(13, 19) & _luhn(_digits(s["value"]))
     return located.withColumns(
         {
@@ -99,28 +115,44 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def _features(s: Column, masked: bool) -> Column:
-    digits = _digits(s["value"])
-    before = F.lower(s["before"])
-    n = F.char_length(digits)
-    last = F.right(s["before"], F.lit(1))
-    values = {
-        "digits": F.when(F.lower(s["value"]).rlike(rf"[^a-z](?:{DOMAINS})$"), 1).otherwise(0) if masked else n,
-        "marks": F.char_length(s["value"]) - F.char_length(F.translate(s["value"], "[({", "")) if masked else F.char_length(s["value"]) - n,
-        "luhn": F.lit(0) if masked else F.when(_luhn(digits), 1).otherwise(0),
-        "zero": F.lit(0) if masked else F.when(digits.startswith("0"), 1).otherwise(0),
-        "variety": F.lit(0) if masked else F.size(F.array_distinct(F.split(digits, ""))),
-        "personal": F.when(before.rlike(rf"(?:^|[^a-z])(?:{PERSONAL})[^a-z]"), 1).otherwise(0),
-        "other": F.when(before.rlike(rf"(?:^|[^a-z])(?:{OTHER})[^a-z]"), 1).otherwise(0),
-        "left": F.when(last.rlike("[A-Za-z]"), 2).when(last.rlike("[$€£#.,/:]"), 1).otherwise(0),
-        "masked": F.lit(int(masked)),
-    }
-    # a masked address has two of them of its own: a common domain in place of digits, brackets in place of marks
-    return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), *(values[f].cast("int").alias(f) for f in FEATURES))
+def _rated(df: DataFrame) -> DataFrame:
+    """df with each added kind's candidates as their places and the kind's own features."""
+
+    def context(s: Column) -> dict[str, Column]:
+        before, last = F.lower(s["before"]), F.right(s["before"], F.lit(1))
+        return {
+            "personal": before.rlike(rf"(?:^|[^a-z])(?:{PERSONAL})[^a-z]").cast("int"),
+            "other": before.rlike(rf"(?:^|[^a-z])(?:{OTHER})[^a-z]").cast("int"),
+            "left": F.when(last.rlike("[A-Za-z]"), 2).when(last.rlike("[$€£#.,/:]"), 1).otherwise(0),
+        }
+
+    def number(s: Column) -> dict[str, Column]:
+        digits = _digits(s["value"])
+        n = F.char_length(digits)
+        return {
+            "digits": n,
+            "marks": F.char_length(s["value"]) - n,
+            "groups": F.size(F.array_distinct(F.transform(F.split(s["value"], _MARK), F.char_length))),  # different lengths of groups
+            "luhn": _luhn(digits).cast("int"),
+            "zero": digits.startswith("0").cast("int"),
+            "variety": F.size(F.array_distinct(F.split(digits, ""))),
+            **context(s),
+        }
+
+    def masked(s: Column) -> dict[str, Column]:
+        value = F.lower(s["value"])
+        return {
+            "common_domain": value.rlike(rf"[^a-z](?:{DOMAINS})$").cast("int"),
+            "brackets": F.char_length(value) - F.char_length(F.translate(value, "[({", "")),
+            "spaced_dot": value.rlike(r"[\])}]\x20|\x20[\[({]").cast("int"),
+            "local_length": F.char_length(F.regexp_extract(value, r"^[a-z0-9._%+-]+", 0)),
+            **context(s),
+        }
 
+    def rated(values, kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), *(c.cast("int").alias(f) for f, c in values(s).items() if f in FEATURES[kind]))
 
-def _rated(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_number": F.transform("_number", lambda s: _features(s, False)), "_masked": F.transform("_masked", lambda s: _features(s, True))})
+    return df.withColumns({"_number": F.transform("_number", rated(number, "number")), "_masked_email": F.transform("_masked", rated(masked, "masked_email"))})
 
 
 # ------------------------------------------------------------------ the trees
@@ -128,17 +160,19 @@ def _rated(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trees:
-    """Depth-two trees as (feature, cut, (feature, cut, low, high), (feature, cut, low, high)), and a threshold a kind."""
+    """Depth-two trees over named features, as (feature, cut, (feature, cut, low, high), (feature, cut, low, high)), and the
+    threshold of the probability."""
 
+    features: tuple[str, ...]
     base: float
     trees: tuple
-    thresholds: tuple[tuple[str, float], ...]
+    threshold: float = 1.01
 
     def column(self, s: Column) -> Column:
         def leaf(t) -> Column:
-            return F.when(s[FEATURES[t[0]]] <= t[1], F.lit(t[2])).otherwise(F.lit(t[3]))
+            return F.when(s[self.features[t[0]]] <= t[1], F.lit(t[2])).otherwise(F.lit(t[3]))
 
-        total = reduce(lambda a, b: a + b, (F.when(s[FEATURES[f]] <= c, leaf(a)).otherwise(leaf(b)) for f, c, a, b in self.trees), F.lit(self.base))
+        total = reduce(lambda a, b: a + b, (F.when(s[self.features[f]] <= c, leaf(a)).otherwise(leaf(b)) for f, c, a, b in self.trees), F.lit(self.base))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def values(self, x: np.ndarray) -> np.ndarray:
@@ -161,7 +195,7 @@ def _best(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tupl
     return best
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, features: tuple[str, ...], rounds: int = ROUNDS, rate: float = RATE) -> Trees:
     """Gradient boosting of depth-two trees under logistic loss with Newton leaves."""
     p = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
     base, trees = math.log(p / (1 - p)), []
@@ -179,53 +213,91 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
         trees.append((f, c, *sides))
         low, high = (np.where(x[:, t[0]] <= t[1], t[2], t[3]) for t in sides)
         total += np.where(x[:, f] <= c, low, high)
-    return Trees(base, tuple(trees), ())
-
-
-def calibrated(trees: Trees, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float = 0.95) -> Trees:
-    """The lowest threshold of each kind at which held-out examples reach the precision (1.01, so none, if nowhere)."""
-    scores, out = trees.values(x), []
-    for k, kind in enumerate(ADDED_KINDS):
-        s, t = scores[kinds == k], y[kinds == k]
-        fit = [c for c in np.unique(s) if t[s >= c].mean() >= precision]
-        out.append((kind, round(float(min(fit)) - 1e-9, 9) if fit else 1.01))
-    return Trees(trees.base, trees.trees, tuple(out))
-
-
-def _pick(options: list[str], salt: int) -> str:
-    listed = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
-    return f"element_at(array({listed}), cast(pmod(xxhash64(id, {salt}), {len(options)}) + 1 as int))"
-
-
-def _examples(spark: SparkSession, rows: int) -> DataFrame:
-    """Generated texts with one candidate each and its label: forms of numbers and masked addresses among other numbers."""
-    d = lambda salt, n: f"lpad(cast(pmod(xxhash64(id, {salt}), {10**n}L) as string), {n}, '0')"
-    yes = _pick(["My SSN: ", "passport no ", "account ", "IBAN DE ", "call ", "tel. ", "mobile ", "ID ", "Konto ", "cuenta ", "compte ", "licence ", "of the ", ""], 1)
-    no = _pick(["order ", "invoice ", "version ", "ISBN ", "total ", "price $", "commit ", "serial ", "year ", "of the ", "build.", "part", "the ", "x", ""], 2)
-    personal = _pick(["AAA-BB-CCCC", "CCCC CCCC CC", "BB BB BB BB BB", "AAA AAA AAA", "CCCCCCCCCC", "BBCCCCCCC AAA"], 3)
-    plain = _pick(["CCCCCCCC", "CCCC-BB-BB", "CCCCCCCCCCCCCCCC", "00000000BB", "CCCCCCCCCCCCC", "AAAAAAAAAAAAAAAAAA", "BBBBBBBB", "11111111AA"], 4)
-    fill = lambda form: f"replace(replace(replace({form}, 'CCCC', {d(5, 4)}), 'AAA', {d(6, 3)}), 'BB', {d(7, 2)})"
-    masked_yes = f"concat('mail ', {_pick(['jo.doe', 'anna', 'k_lee', 'max.m'], 8)}, {_pick([' [at] ', ' (at) ', '[at]', ' {at} '], 9)}, 'mail', {d(10, 1)}, {_pick([' [dot] ', '.', ' (dot) '], 11)}, {_pick(['com', 'org', 'de', 'fr'], 12)})"
-    masked_no = "concat('look (at) it.Then ', 'go')"
+    return Trees(features, base, tuple(trees))
+
+
+def calibrated(trees: Trees, x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> Trees:
+    """With the lowest threshold from which on the examples reach the precision, halfway to the next score below it (1.01,
+    so none, if nowhere)."""
+    scores = trees.values(x)
+    levels = np.unique(scores)
+    fit = [i for i, c in enumerate(levels) if y[scores >= c].mean() >= precision]
+    if not fit:
+        return trees
+    below = levels[fit[0] - 1] if fit[0] else 0.0
+    return Trees(trees.features, trees.base, trees.trees, round(float(levels[fit[0]] + below) / 2, 9))
+
+
+# Texts about a candidate and the forms it takes (A, B, C: runs of three, two and four digits; M: a masked address), for
+# and against a person's data. The trees are fitted on the first set and calibrated on the second, which shares neither
+# texts nor forms with it.
+FIT_FORMS = {
+    "number": (
+        ("My SSN: ", "passport no ", "account ", "call ", "tel. ", "mobile ", "Konto ", "cuenta ", "compte ", "of the ", ""),
+        ("AAA-BB-CCCC", "CCCC CCCC BB", "BB BB BB BB BB", "AAA AAA AAA", "CCCCCCCCBB", "BBCCCCCCC AAA"),
+        ("order ", "invoice ", "version ", "ISBN ", "total ", "price $", "commit ", "serial ", "of the ", "build.", "the ", "x", ""),
+        ("CCCCCCCC", "CCCC-BB-BB", "CCCCCCCCCCCCCCCC", "00000000BB", "CCCCCCCCCCCCC", "AAAAAAAAAAAAAAAAAA", "11111111AA"),
+    ),
+    "masked_email": (
+        ("mail ", "write to ", ""),
+        ("jo.doe [at] mailB [dot] com", "anna(at)mailB.org", "k_lee {at} hostB.de", "max.m [at] postB (dot) fr"),
+        ("look ", "it was ", ""),
+        ("it (at) end.Then", "we (at) times.so", "pause [at] last.When", "one (at) a.Time"),
+    ),
+}
+CALIBRATION_FORMS = {
+    "number": (
+        ("licence ", "fax ", "dial ", "her number is ", "DNI ", "Telefon ", "reach me on ", "IBAN DE", "and "),
+        ("AAA BB CCCC", "BBB BBB BBBB", "CCCC-CCCC", "AAA-AAA-CCCC", "BB CCC CCC", "CCCCCCCAA"),
+        ("figure ", "since ", "part ", "EUR ", "row ", "lot no. ", "batch ", "sku-", "and "),
+        ("CCCCCCCCBBBB", "CCCCBBBB", "AAAAAAAAAA", "22222222BB", "CCCC-CCCC-CCCC-CCCC", "BBBBBBBBBBB"),
+    ),
+    "masked_email": (
+        ("contact: ", "e-mail me, ", "von "),
+        ("sue.b[at]firmB[dot]net", "r.ray (at) schoolB (dot) edu", "pat99 [at] webB.info", "lu {at} siteB {dot} io"),
+        ("stop ", "so ", "und "),
+        ("here (at) once.More", "meet [at] noon.Please", "look (at) him.Now", "sold {at} cost.Only"),
+    ),
+}
+
+
+def _examples(spark: SparkSession, rows: int, kind: str, forms: dict) -> DataFrame:
+    """Generated texts with one candidate of the kind each, and its label."""
+
+    def pick(options, salt: int) -> str:
+        listed = ", ".join("'" + o.replace("'", "''") + "'" for o in options)
+        return f"element_at(array({listed}), cast(pmod(xxhash64(id, {salt}), {len(options)}) + 1 as int))"
+
+    def filled(form: str) -> str:
+        for letters, n, salt in (("CCCC", 4, 5), ("AAA", 3, 6), ("BB", 2, 7), ("C", 1, 8), ("B", 1, 9)):
+            form = f"replace({form}, '{letters}', lpad(cast(pmod(xxhash64(id, {salt}), {10**n}L) as string), {n}, '0'))"
+        return form
+
+    yes, yes_forms, no, no_forms = forms[kind]
     label = "cast(pmod(xxhash64(id, 20), 2) as int)"
-    kind = "cast(pmod(xxhash64(id, 21), 5) = 0 as int)"
-    text = f"CASE WHEN {kind} = 1 THEN if({label} = 1, {masked_yes}, {masked_no}) WHEN {label} = 1 THEN concat({yes}, {fill(personal)}, ' then') ELSE concat({no}, {fill(plain)}, ' then') END"
-    return spark.range(rows).selectExpr("id", f"{text} AS text", f"{label} AS label", f"{kind} AS kind")
+    text = f"if({label} = 1, concat({pick(yes, 1)}, {filled(pick(yes_forms, 3))}), concat({pick(no, 2)}, {filled(pick(no_forms, 4))}))"
+    return spark.range(rows).selectExpr("id", f"concat({text}, ' then') AS text", f"{label} AS label")
 
 
-def fit_trees(spark: SparkSession, rows: int = FIT_ROWS) -> Trees:
-    """Fits on the first half of the generated examples and calibrates the thresholds on the second."""
-    rated = _rated(candidates(_examples(spark, rows), F.col("text"))).select("id", "label", "kind", F.when(F.col("kind") == 1, F.col("_masked")).otherwise(F.col("_number")).alias("c")).where(F.size("c") > 0)
-    got = sorted((r["id"], r["label"], r["kind"], *(r["f"][n] for n in FEATURES)) for r in rated.select("id", "label", "kind", F.element_at("c", 1).alias("f")).collect())
-    if not got:
-        return Trees(0.0, (), tuple((k, 1.01) for k in ADDED_KINDS))
-    table = np.array(got, dtype=np.int64)
-    x, y, kinds = table[:, 3:], table[:, 1].astype(float), table[:, 2]
-    half = table[:, 0] < rows // 2
-    return calibrated(boost(x[half], y[half]), x[~half], y[~half], kinds[~half])
+def _table(spark: SparkSession, rows: int, kind: str, forms: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the examples' candidates."""
+    rated = _rated(candidates(_examples(spark, rows, kind, forms), F.col("text"))).select("id", "label", F.explode(f"_{kind}").alias("f"))
+    got = sorted((r["id"], r["label"], *(r["f"][n] for n in FEATURES[kind])) for r in rated.collect())
+    table = np.array(got, dtype=np.int64).reshape(len(got), 2 + len(FEATURES[kind]))
+    return table[:, 2:], table[:, 1].astype(float)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: Trees | None = None) -> DataFrame:
+def fit_trees(spark: SparkSession, rows: int = FIT_ROWS) -> dict[str, Trees]:
+    """Each added kind's trees, fitted on one set of generated examples and calibrated on another with other texts and
+    forms, so that a threshold tells how the trees do on what they haven't seen."""
+    out = {}
+    for kind in ADDED_KINDS:
+        x, y = _table(spark, rows, kind, FIT_FORMS)
+        out[kind] = calibrated(boost(x, y, FEATURES[kind]), *_table(spark, rows, kind, CALIBRATION_FORMS)) if len(y) else Trees(FEATURES[kind], 0.0, ())
+    return out
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: dict[str, Trees] | None = None) -> DataFrame:
     """Per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Valid base spans always stay; number and masked_email candidates are added where their probability reaches the
@@ -233,10 +305,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     without a shuffle: repeated rows get equal results, an empty table gives no rows, other columns are ignored.
     """
     trees = trees or fit_trees(docs.sparkSession)
-    limits = dict(trees.thresholds)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_raw"))
     found = _rated(candidates(rows, F.col("_raw")))
-    chosen = found.withColumns({"_number": F.filter("_number", lambda s: trees.column(s) >= limits["number"]), "_masked_email": F.filter("_masked", lambda s: trees.column(s) >= limits["masked_email"])})
+
+    def selected(kind: str) -> Column:
+        return F.filter(f"_{kind}", lambda s: trees[kind].column(s) >= trees[kind].threshold)
+
+    chosen = found.withColumns({f"_{kind}": selected(kind) for kind in ADDED_KINDS})
+
     def named(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")))
 

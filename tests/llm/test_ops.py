@@ -257,6 +257,37 @@ def test_pii(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
 
 
+def test_pii_added_spans_on_unseen_forms(spark):
+    """Precision and recall of the added spans on texts and forms that neither set of examples holds."""
+    r = random.Random(8)
+    d = lambda form: re.sub("#", lambda m: r.choice("0123456789"), form)
+    yes = [(p, f) for p in ("My social is ", "Ausweis ", "telephone: ", "card on file ", "pasaporte ", "you may phone ") for f in ("###-##-####", "## ## ## ## ##", "#### ### ###", "### #### ####")]
+    yes += [(p, f) for p in ("drop a line: ", "by mail ") for f in ("ann.k (at) bank#.com", "tom[at]shop#[dot]de", "lea {at} club# [dot] org")]
+    no = [(p, f) for p in ("issue ", "doi ", "Seite ", "precio ", "kept in ") for f in ("########", "##########", "################")]
+    no += [(p, f) for p in ("we ", "she ") for f in ("arrive (at) home.Later", "glance [at] her.Then")]
+    rows = [(i, *r.choice(yes if i % 2 else no)) for i in range(600)]
+    made = {i: (p, d(f)) for i, p, f in rows}
+    docs = spark.createDataFrame([(i, p + v + " so") for i, (p, v) in made.items()], "doc_id long, text string")
+    kinds = ("number", "masked_email")
+    hits = {x["doc_id"]: [s for s in x["spans"].split(",") if s.startswith(kinds)] for x in pii.find_pii(docs).collect()}
+    base = {x["doc_id"] for x in pii.find_pii(docs).collect() if x["n_card"]}
+    exact = sum(f"{k}:{len(p)}:{len(p) + len(v)}" in hits[i] for i, (p, v) in made.items() for k in kinds if i % 2)
+    found = sum(len(h) for i, h in hits.items() if i not in base)
+    print("added spans:", exact, "of", 300, "found;", found, "in all")
+    assert exact >= 0.8 * 300 and exact >= 0.9 * found
+
+
+def test_pii_many_matches(spark):
+    """Thirty thousand matches of a kind in one text, in time that follows their number."""
+    n = 30_000
+    docs = spark.createDataFrame([(1, "call +1 (222) 333-4444 at 10.0.0.1 " * n)], "doc_id long, text string")
+    trees = {k: pii.Trees(pii.FEATURES[k], 0.0, ()) for k in pii.ADDED_KINDS}
+    row = pii.find_pii(docs, trees=trees).first()
+    assert (row["n_phone"], row["n_ip"]) == (n, n)
+    want = [f"ip:{35 * i + 26}:{35 * i + 34}" for i in range(n)] + [f"phone:{35 * i + 5}:{35 * i + 22}" for i in range(n)]
+    assert row["base_sha256"] == sha(",".join(want))
+
+
 def test_brown_lm(docs):
     tokens = {i: t.encode().lower().split() + [None] for i, t in texts().items()}
     held = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
@@ -482,7 +513,7 @@ def test_html_pages(spark):
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    trees = pii.Trees(0.0, (), (("number", 1.01), ("masked_email", 1.01)))
+    trees = {k: pii.Trees(pii.FEATURES[k], 0.0, ()) for k in pii.ADDED_KINDS}
     bench = none.select(F.col("doc_id").alias("item_id"), "text")
     for out in (exact_dedup.exact_dedup(none), near_dedup.near_dedup(none), suffix_dedup.remove_repeats(none), decontamination.contamination_report(none, bench), secret_scan.scan_secrets(none), pii.find_pii(none, trees=trees)):
         assert out.collect() == []
