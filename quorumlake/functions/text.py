@@ -31,10 +31,37 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+_COUNT = "[0-9][0-9,]*"
+#: A number that touches neither a letter nor an underscore: sign, decimals and a denominator belong to it.
+NUMBER = rf"(?<![a-z_])[+-]?{_COUNT}(?:[.][0-9]+)?(?:\s*/\s*{_COUNT})?(?![a-z_])"
+
+
 def template(text: Column) -> Column:
-    """Lower case, numbers as <num>, all else but letters as blanks. Compatibility forms are left to normal_form."""
-    numbers = F.regexp_replace(F.lower(text), r"(?<![a-z_])[+-]?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*/\s*[0-9][0-9,]*)?(?![a-z_])", " <num> ")
-    return F.trim(F.regexp_replace(F.regexp_replace(numbers, "[^a-z<>]+", " "), " +", " "))
+    """The words and numbers of a text in lower case, each number as <num>; all else but < and > is dropped.
+
+    Compatibility forms are left to normal_form."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"{NUMBER}|[a-z<>]+"), F.lit(0))
+    return F.array_join(F.transform(found, lambda t: F.when(t.rlike("[0-9]"), "<num>").otherwise(t)), " ")
+
+
+# Money, units and the words that aren't names though they begin with a capital.
+CURRENCY_WORDS = "usd eur gbp dollars? euros? pounds? rupees? won yen cents? rs[.]"
+UNIT_WORDS = "millimeters? centimeters? meters? kilometers? inches? feet foot yards? miles? grams? kilograms? ounces? pounds? liters? litres? gallons? seconds? minutes? hours? days? weeks? months? years? degrees? radians? percent percentage mph kmh km/h m/s square\\s+units? cubic\\s+units?"
+
+
+def placeholder_template(text: Column, plain_words: list[str]) -> Column:
+    """Lower case with URLs, money, units, numbers and capitalised words (but for plain_words) as placeholders."""
+    words = lambda listed: rf"(?i)\b(?:{'|'.join(listed.split())})\b"
+    steps = (
+        (r"(?i)https?://\S+", "<url>"),
+        (rf"[$€£¥₹₩]|{words(CURRENCY_WORDS)}", "<currency>"),
+        (words(UNIT_WORDS), "<unit>"),
+        (rf"(?<![A-Za-z_])[+\-−]?\s*(?:{_COUNT}(?:[.][0-9]+)?|[.][0-9]+)(?:\s*/\s*{_COUNT})?(?![A-Za-z_])", "<num>"),
+    )
+    for pattern, name in steps:
+        text = F.regexp_replace(text, pattern, f" {name} ")
+    text = F.regexp_replace(text, rf"\b(?!(?i:{'|'.join(plain_words)})\b)[A-Z][a-z]{{2,}}\b", "<name>")
+    return collapse(F.lower(text))
 
 
 def tokens(text: Column) -> Column:
@@ -76,12 +103,9 @@ def hash_fold(key: Column, folds: int) -> Column:
 
 def bounded_bucket(value: Column, bounds: list[int], prefix: str) -> Column:
     """prefixLOW_HIGH of the first bound that the value doesn't pass, prefixLOW_plus beyond the last."""
-    low, out = 0, None
-    for high in bounds:
-        name = F.lit(f"{prefix}{low + 1}_{high}")
-        out = F.when(value <= high, name) if out is None else out.when(value <= high, name)
-        low = high
-    return out.otherwise(F.lit(f"{prefix}{bounds[-1] + 1}_plus"))
+    names = F.array(*(F.lit(f"{prefix}{a + 1}_{b}") for a, b in zip([0, *bounds], [*bounds, "plus"], strict=True)))
+    passed = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value))
+    return F.when(value.isNotNull(), F.get(names, passed))
 
 
 def first_match(text: Column, rules: tuple[tuple[str, str], ...], other: str) -> Column:
