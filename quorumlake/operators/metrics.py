@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,27 +84,52 @@ def categorical_smd(rows: DataFrame, label: str, category: str) -> DataFrame:
     return shares.select(category, F.when(v > 0, (p - q) / F.sqrt(F.when(v > 0, v))).when(p == q, 0.0).when(p > q, float("inf")).otherwise(float("-inf")).alias("smd"))
 
 
+def _stirling_rest(n: int) -> float:
+    """ln n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without cancellation near the mean."""
+    v = (x - mean) / (x + mean)
+    if abs(v) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, term, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term, k = term * v * v, k + 2
+        more = total + term / k
+        if more == total:
+            return total
+        total = more
+
+
+def mcnemar_p(only_a: int, only_b: int) -> float:
+    """Exact two-sided binomial tail of the smaller of two discordant counts, of any size: the middle term by its saddle
+    point, the others from it by their ratios until they no longer count."""
+    n, low = only_a + only_b, min(only_a, only_b)
+    if n == 0 or 2 * low == n:
+        return 1.0
+    if low == 0:
+        return min(1.0, 2 * 0.5**n) if n < 1075 else 0.0
+    log = _stirling_rest(n) - _stirling_rest(low) - _stirling_rest(n - low) - _deviance(low, n / 2) - _deviance(n - low, n / 2)
+    term = math.exp(log) * math.sqrt(n / (2 * math.pi * low * (n - low)))
+    total, i = 0.0, low
+    while i >= 0 and term > total * 1e-17:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return min(1.0, 2 * total)
+
+
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Exact two-sided McNemar test of paired correctness columns: only_a, only_b, difference and p.
+    """Exact two-sided McNemar test of paired correctness columns: only_a, only_b, n, difference and p_value.
 
-    The binomial tail is one pass of logarithms over the smaller count; beyond a million discordant pairs a closed
-    form of the normal tail (good to a few per cent of p) stands in for it.
-    """
-    s = pairs.agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(F.col(b) & ~F.col(a)).alias("only_b"), F.count("*").alias("n"))
-    s = s.withColumn("m", F.col("only_a") + F.col("only_b")).withColumn("low", F.least("only_a", "only_b"))
-    m = F.col("m")
-    zero = F.struct(F.lit(0.0).alias("ln"), F.exp(-m * F.ln(F.lit(2.0))).alias("tail"))
-
-    def step(acc: Column, i: Column) -> Column:
-        ln = acc["ln"] + F.ln((m - i + 1) / i)
-        return F.struct(ln.alias("ln"), (acc["tail"] + F.exp(ln - m * F.ln(F.lit(2.0)))).alias("tail"))
-
-    counted = F.when(F.col("low") > 0, F.sequence(F.lit(1), F.least(F.col("low"), F.lit(1_000_000)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    exact = F.least(F.lit(1.0), 2 * F.aggregate(counted, zero, step, lambda acc: acc["tail"]))
-    z = F.try_divide(F.abs(F.col("only_a") - F.col("only_b")).cast("double"), F.sqrt(m))
-    limit = F.exp(-0.717 * z - 0.416 * z * z)
-    p = F.when(m == 0, 1.0).when(m > 1_000_000, limit).otherwise(exact)
-    return s.select("only_a", "only_b", "n", F.try_divide(F.col("only_a") - F.col("only_b"), F.col("n")).alias("difference"), p.alias("p_value"))
+    The counts are one aggregation; the tail of two numbers is computed on the driver."""
+    r = pairs.agg(F.count_if(F.col(a) & ~F.col(b)), F.count_if(F.col(b) & ~F.col(a)), F.count("*")).first()
+    difference = f"{(r[0] - r[1]) / r[2]!r}D" if r[2] else "CAST(NULL AS DOUBLE)"
+    return pairs.sparkSession.sql(f"SELECT {r[0]}L AS only_a, {r[1]}L AS only_b, {r[2]}L AS n, {difference} AS difference, {mcnemar_p(r[0], r[1])!r}D AS p_value")
 
 
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -85,3 +85,11 @@ def low_quality_reasons(path: Column, hit_max: Column, conflict: Column) -> Colu
             F.when(conflict, F.lit("conflicting_explicit_candidates")),
         )
     )
+
+
+def scored(pool: DataFrame, scores: DataFrame) -> DataFrame:
+    """pool with the score of each (id, sample_index); a key that only one side has is an error."""
+    keys = ["id", "sample_index"]
+    both = pool.withColumn("_p", F.lit(True)).join(scores.withColumn("_s", F.lit(True)), keys, "full")
+    checked = F.when(F.col("_p") & F.col("_s"), F.col("score")).otherwise(F.raise_error(F.lit("pool and scores differ in their keys")).cast("double"))
+    return both.withColumn("score", checked).drop("_p", "_s")

@@ -57,6 +57,23 @@ def round_robin(rows: DataFrame, by: list[str], source: str, key: str, seed: int
     return rows.withColumn("_round", F.row_number().over(own)).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_round", "_place")
 
 
+#: Rows that are ranked in one task by `ranked`, about.
+RANGE_ROWS = 200_000
+
+
+def ranked(rows: DataFrame, keys: list[str], out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with their place from 0 on in the order of keys, whose first is a number: ranks within ranges of it, moved by
+    what the ranges before hold. The number of ranges follows the rows."""
+    from quorumlake.operators.metrics import _ranges
+
+    cuts = max(2, -(-rows.count() // range_rows))
+    dealt = _ranges(rows, keys[0], cuts)
+    within = dealt.withColumn(out, F.row_number().over(W.partitionBy("_range").orderBy(*keys)) - 1)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    return within.join(before, "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+
+
 def hash_order(rows: DataFrame, key: str, namespace: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with their position in the order of (sha256 of namespace, seed and key; key), whole or within groups.
 

@@ -128,10 +128,11 @@ def flat_vote(pool: DataFrame, width: int = 32) -> DataFrame:
 
 
 def arm_normalised_vote(pool: DataFrame, width: int = 32) -> DataFrame:
-    """Sum of each arm's answer shares in exact whole units; ties to the first place."""
+    """Sum of each arm's answer shares in exact whole units; ties to the first place. An arm of more valid votes than the
+    unit has divisors for (32) is an error rather than an inexact share."""
     counts = positions(pool, width).where("answer is not null").groupBy("id", "arm", "answer").agg(F.count("*").alias("n"), F.min("position").alias("first"))
     valid = counts.groupBy("id", "arm").agg(F.sum("n").alias("valid"))
-    shares = counts.join(valid, ["id", "arm"]).groupBy("id", "answer").agg(F.sum(F.expr(f"n * ({SHARE_UNIT}L div valid)")).alias("units"), F.min("first").alias("first"))
+    shares = counts.join(valid, ["id", "arm"]).groupBy("id", "answer").agg(F.sum(F.expr(f"if(valid > 32, raise_error('an arm has more than 32 valid votes'), n * ({SHARE_UNIT}L div valid))")).alias("units"), F.min("first").alias("first"))
     won = shares.groupBy("id").agg(F.max_by("answer", F.struct("units", -F.col("first"))).alias("answer"), F.max("units").alias("units"))
     return pool.select("id").distinct().join(won, "id", "left")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text as X
-from quorumlake.functions.extraction import extract_answers
+from quorumlake.functions.extraction import extract_answers, extract_baseline, last_stated, normalise_trace, resolve_selection
 from quorumlake.operators.selection import winner
 from quorumlake.operators.similarity import contamination_cascade, similarity_join
 from quorumlake.queries.registry import POOL, Tables, query
@@ -84,7 +84,12 @@ def f12_template(t: Tables) -> DataFrame:
 
 
 @query()
-def f11_f12_template_with_numbers(t: Tables) -> DataFrame:
+def f11_placeholder_template(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.placeholder_template(F.col("text"), ["the", "a", "an", "and", "if", "find", "how", "what"]).alias("template"))
+
+
+@query()
+def f12_number_template(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.template(F.col("text")).alias("template"))
 
 
@@ -127,9 +132,36 @@ def f21_f22_targets(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.concat(F.regexp_replace("text", r"[.]?\s*$", ""), F.lit("\nFINAL_ANSWER: "), (F.col("item_id") % 7).cast("string")).alias("target"))
 
 
-@query("SELECT conv_id, turn, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS choice FROM conversations")
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS k, {_S} AS s, '1' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS long FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CASE WHEN k IN (0, 1, 2) THEN s WHEN k = 4 AND s = '3' THEN '3' WHEN k = 7 THEN long || '' END AS answer,
+ CASE WHEN k IN (0, 7) OR (k = 4 AND s = '3') THEN 'final_answer_marker' WHEN k = 1 THEN 'boxed' WHEN k = 2 THEN 'standalone_last_line' ELSE 'none' END AS path,
+ CASE WHEN k = 4 AND s <> '3' THEN 'conflicting_explicit_answers' WHEN k IN (3, 4, 5, 6, 8) AND NOT (k = 4 AND s = '3') THEN 'no_supported_answer_marker' END AS failure_reason FROM x""")
+def f2_baseline_extractor(t: Tables) -> DataFrame:
+    return extract_baseline(_raw(t), "raw").select("l_orderkey", "l_linenumber", "baseline.answer", "baseline.path", "baseline.failure_reason")
+
+
+@query(f"WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS k, {_S} AS s, '1' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS long FROM lineitem) SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN s WHEN 1 THEN s WHEN 4 THEN '3,' || s WHEN 5 THEN '3' WHEN 7 THEN long ELSE '' END AS stated FROM x")
+def f9_last_stated(t: Tables) -> DataFrame:
+    return _raw(t).select("l_orderkey", "l_linenumber", F.array_join(last_stated(F.col("raw")), ",").alias("stated"))
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS k, {_S} AS s, '1' || lpad(CAST(l_suppkey % 1000 AS VARCHAR), 3, '0') AS long, {_RAW} AS raw FROM lineitem),
+ y AS (SELECT *, CASE WHEN k = 0 THEN 'already_canonical_final_line' WHEN k IN (1, 2, 7) OR (k = 4 AND s = '3') THEN 'appended_final_answer' WHEN k = 4 THEN 'conflicting_explicit_answers' ELSE 'no_safe_integer_candidate' END AS status, CASE WHEN k = 7 THEN long WHEN k IN (0, 1, 2) OR (k = 4 AND s = '3') THEN s END AS candidate FROM x)
+ SELECT l_orderkey, l_linenumber, status, candidate, CASE WHEN status = 'appended_final_answer' THEN raw || chr(10) || 'FINAL_ANSWER: ' || candidate || chr(10) ELSE raw END AS trace FROM y""")
+def f22_trace_normaliser(t: Tables) -> DataFrame:
+    return normalise_trace(_raw(t), "raw").select("l_orderkey", "l_linenumber", "status", "candidate", "trace")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 5 AS p, l_suppkey % 50 AS a FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CASE WHEN p > 0 THEN p END AS position, CASE WHEN p IN (1, 2, 3) THEN 10 * p END AS origin, CASE WHEN p IN (1, 2, 3) THEN CAST(a + p - 1 AS VARCHAR) ELSE CAST(a AS VARCHAR) END AS resolved,
+ CASE WHEN p IN (1, 2, 3) THEN 'selected_candidate_answer' ELSE 'selector_final_answer_fallback' END AS resolution, p IN (1, 2, 3) AS valid, p IN (2, 3) AS mismatch FROM x""")
 def f23_selector_output(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", F.expr("try_cast(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT)").alias("choice"))
+    """The last selected number looked up among three candidates; the fourth isn't there, and none is asked for at 0."""
+    x = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 5).alias("p"), (F.col("l_suppkey") % 50).alias("a"))
+    asked = F.when(F.col("p") > 0, F.format_string("SELECTED_CANDIDATE: 9\nthen selected_candidate : %d\n", "p")).otherwise("none fits\n")
+    listed = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(10 * i).alias("origin"), (F.col("a") + i - 1).cast("string").alias("answer")) for i in (1, 2, 3)))
+    x = x.select("l_orderkey", "l_linenumber", F.concat(asked, F.lit("FINAL_ANSWER: "), F.col("a").cast("string")).alias("text"), listed.alias("listed"))
+    return resolve_selection(x, "text", "listed").select("l_orderkey", "l_linenumber", "position", "origin", "resolved", "resolution", "valid", "mismatch")
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '@') THEN 'mail' WHEN contains(text, '!!') THEN 'shout' ELSE 'prose' END AS coarse, len(regexp_split_to_array(trim(text), '\\s+')) AS words FROM documents")
@@ -188,7 +220,7 @@ _QUESTIONS = "SELECT p_partkey, ['a triangle with ', 'the prime number ', 'choos
 @query(f"WITH q AS ({_QUESTIONS}) SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'geometry' WHEN 1 THEN 'number_theory' WHEN 2 THEN 'combinatorics_probability' WHEN 3 THEN 'algebra' ELSE 'arithmetic_word_problem' END AS kind FROM q")
 def p8_problem_type(t: Tables) -> DataFrame:
     lead = F.element_at(F.array(*map(F.lit, ("a triangle with ", "the prime number ", "choose cards ", "the equation of ", "apples and "))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return t.part.select("p_partkey", X.problem_type(lead).alias("kind"))
+    return t.part.select("p_partkey", X.problem_type(F.concat(lead, "p_name")).alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars <= 500 THEN 'chars_1_500' WHEN n_chars <= 2000 THEN 'chars_501_2000' WHEN n_chars <= 8000 THEN 'chars_2001_8000' ELSE 'chars_8001_plus' END AS bucket FROM documents")

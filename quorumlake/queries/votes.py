@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorumlake.operators import metrics, voting
-from quorumlake.operators.pool import coverage, low_quality_reasons, prefix, splice, unanimous, union_pools
+from quorumlake.operators.pool import coverage, low_quality_reasons, prefix, scored, splice, unanimous, union_pools
 from quorumlake.queries.registry import GROUPS, MAJORITY, POOL, VOTES, Tables, query
 
 _CONFLICT = "trace % 11 = 0"
@@ -353,9 +353,10 @@ def j1_pool_with_gold(t: Tables) -> DataFrame:
     return t.pool.join(t.gold, "id").select("id", "sample_index", "answer", "gold", F.coalesce(F.col("answer") == F.col("gold"), F.lit(False)).alias("correct"))
 
 
-@query(f"WITH {POOL} SELECT p.id, p.sample_index, p.answer, s.score FROM pool p JOIN (SELECT id, sample_index, score FROM pool WHERE sample_index < 3) s ON p.id = s.id AND p.sample_index = s.sample_index")
+@query(f"WITH {POOL} SELECT id, sample_index, answer, score FROM pool")
 def j2_scores_by_sample(t: Tables) -> DataFrame:
-    return t.pool.select("id", "sample_index", "answer").join(t.pool.where("sample_index < 3").select("id", "sample_index", "score"), ["id", "sample_index"])
+    """Scores of every sample, and an error unless both sides have the same keys."""
+    return scored(t.pool.select("id", "sample_index", "answer"), t.pool.select("id", "sample_index", "score"))
 
 
 @query(f"WITH {POOL}, r AS (SELECT * FROM pool WHERE sample_index < 4) SELECT a.arm AS arm_a, b.arm AS arm_b, count(*) AS pairs, round(avg((a.answer IS NOT DISTINCT FROM b.answer)::INT), 9) AS agreement FROM r a JOIN r b ON a.id = b.id AND a.arm < b.arm GROUP BY 1, 2")
@@ -379,9 +380,9 @@ def w1_prefix(t: Tables) -> DataFrame:
     return prefix(t.pool, 3).select("id", "sample_index", "answer")
 
 
-@query(f"WITH {POOL} SELECT id, sample_index, answer FROM pool WHERE arm = 0 UNION ALL SELECT id, sample_index + 32, answer FROM pool WHERE arm = 1")
+@query(f"WITH {POOL} SELECT id, sample_index, answer FROM pool WHERE arm = 0 UNION ALL SELECT id, sample_index + 32, answer FROM pool WHERE arm = 1 UNION ALL SELECT id, sample_index + 64, answer FROM pool WHERE arm = 2")
 def u2_j19_union_with_offset(t: Tables) -> DataFrame:
-    return union_pools([t.pool.where("arm = 0"), t.pool.where("arm = 1")], 32).select("id", "sample_index", "answer")
+    return union_pools([t.pool.where(F.col("arm") == a) for a in range(3)], 32).select("id", "sample_index", "answer")
 
 
 @query(f"WITH {POOL} SELECT id, sample_index, answer, 'a' AS source FROM pool WHERE sample_index < 2 UNION ALL SELECT id, sample_index, CAST(trace % 5 AS VARCHAR), 'b' FROM pool WHERE sample_index >= 2")

@@ -175,3 +175,81 @@ def test_strict_sources(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": "1"}\nnot json\n')
     with pytest.raises(Exception):
         S.read_jsonl(spark, f"file://{tmp_path}/bad.jsonl", "id string").collect()
+
+
+def test_extraction_cases(spark):
+    """Markers, boxes, last lines and bodies, each with the answer or the reason that there is none."""
+    from quorumlake.functions.extraction import extract_answers
+
+    final, box, line, body = "final_answer_marker", "boxed", "standalone_last_line", "last_integer"
+    none, mixed, clash = "no_supported_answer_marker", "non_integer_only", "conflicting_explicit_answers"
+    cases = [
+        ("FINAL_ANSWER: -0", "0", final), ("FINAL_ANSWER: 1,234", "1234", final), ("so \\boxed{-317}.", "-317", box), ("FINAL_ANSWER: 42 km/h", "42", final),
+        ("\\boxed{4}.\nFINAL_ANSWER: 5", None, clash), ("done.\n-19", "-19", line), ("it went 11 and 23 before", "23", body), ("ended at 23.\nFINAL_ANSWER:", None, none),
+        ("\\boxed{17}\nFINAL_ANSWER: \\frac{1}{2}", None, mixed), ("FINAL_ANSWER: +1,234.000", "1234", final), ("\\boxed{400}\nFINAL_ANSWER: $400.00", "400", final),
+        ("it is 1 3/4.", None, mixed), ("it is 1\\frac{3}{4}.", None, mixed), ("it is .5", None, mixed), ("FINAL_ANSWER: 1e3", None, mixed), ("FINAL_ANSWER: 00400.00", None, mixed),
+        ("\\boxed{\\boxed{5}}", None, mixed), ("\\boxed{400", None, mixed), ("\\[\\text{FINAL_ANSWER: } 42 \\text{ km/h}\\]", "42", final), ("FINAL_ANSWER: −１２.００ units", "-12", final),
+        ("", None, none), (None, None, none), ("x².", None, none), ("5 6 7/8", "5", body), ("1,234 and 007", "1234", body),
+    ]
+    rows = spark.createDataFrame([(i, c[0], "kept") for i, c in enumerate(cases)], "i int, t string, extra string")
+    out = extract_answers(rows, "t")
+    assert out.columns == ["i", "t", "extra", "extraction"]
+    for r in out.collect():
+        e, (_, answer, told) = r["extraction"], cases[r["i"]]
+        assert (e["answer"], e["path"] if answer else e["failure_reason"]) == (answer, told), cases[r["i"]]
+    two = extract_answers(spark.createDataFrame([("\\boxed{7} FINAL_ANSWER: 7\n\\boxed{7}",)], "t string"), "t").first()["extraction"]
+    assert two["explicit_candidates"] == ["7", "7", "7"] and two["path"] == final
+
+
+def test_templates(spark):
+    import re
+
+    from quorumlake.functions import text as X
+
+    def plain(t):
+        t = re.sub(r"(?<![a-z_])[+-]?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s*/\s*[0-9][0-9,]*)?(?![a-z_])", " <num> ", t.lower())
+        return " ".join(re.sub("[^a-z<>]+", " ", t).split())
+
+    texts = ["Tom has 3 apples and 1,200.50 pears", "x2 2nd a_5 -7/8 <b> 1/2", "", "...", "5", "10 - 5 = 5, 3.14.15"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.template(F.col("t")).alias("m"), F.size(X.tokens(F.col("t"))).alias("n"))
+    for r in rows.collect():
+        assert r["m"] == plain(r["t"]) and r["n"] == len(re.findall("[a-z]+|<num>", plain(r["t"])))
+    told = spark.createDataFrame([("The cost for Alice is $5.50 or 12 km/h at HTTPS://x.y/z  End",)], "t string")
+    assert told.select(X.placeholder_template(F.col("t"), ["the", "end"])).first()[0] == "the cost for <name> is <currency> <num> or <num> <unit> at <url> end"
+
+
+def test_mcnemar_at_any_count():
+    import math
+    from fractions import Fraction
+
+    from quorumlake.operators.metrics import mcnemar_p
+
+    for a, b in ((0, 0), (0, 5), (3, 10), (40, 70), (450, 500), (7, 7), (0, 60)):
+        n, low = a + b, min(a, b)
+        exact = min(Fraction(1), 2 * sum(Fraction(math.comb(n, i), 2**n) for i in range(low + 1)))
+        assert abs(mcnemar_p(a, b) - float(exact)) <= 1e-12 * float(exact)
+    assert abs(mcnemar_p(500_000_000, 500_100_000) - math.erfc((100_000 - 1) / math.sqrt(1_000_100_000) / math.sqrt(2))) < 1e-6
+
+
+def test_similarity_join_of_copies(spark):
+    """Copies are one set until the end; every pair of rows is there."""
+    from quorumlake.operators.similarity import similarity_join
+
+    sets = [list("abcdefghij"), list("abcdefghix"), list("abcdefghij"), list("klm"), [], list("klm"), list("abcdefghijy")]
+    rows = spark.createDataFrame(list(enumerate(sets)), "key int, items array<string>")
+    want = {(i, j, len(set(a) & set(b))) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8}
+    assert {tuple(r)[:3] for r in similarity_join(rows, rows, 0.8).collect()} == want
+    assert {tuple(r)[:3] for r in similarity_join(rows, rows, 0.8, once=True).collect()} == {w for w in want if w[0] < w[1]}
+
+
+def test_ranked_and_scored(spark):
+    from quorumlake.operators.pool import scored
+    from quorumlake.operators.selection import ranked
+
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"))
+    assert [r["at"] for r in ranked(rows, ["k"], "at", 64).orderBy("k").collect()] == list(range(1000))
+    pool = spark.createDataFrame([(1, 0), (1, 1)], "id int, sample_index int")
+    scores = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.7)], "id int, sample_index int, score double")
+    assert sorted(r["score"] for r in scored(pool, scores).collect()) == [0.5, 0.7]
+    with pytest.raises(Exception, match="differ in their keys"):
+        scored(pool, scores.limit(1)).collect()
