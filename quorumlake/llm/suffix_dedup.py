@@ -126,14 +126,14 @@ def suffix_order(buffer: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.n
     """Suffix order of the positions of buffer, where the suffix at i has left[i] bytes, and the lengths that neighbours in
     it share (0 first). Equal suffixes stand by position.
 
-    Ranks by the first 4, 8, 16.. bytes are made from each other until the longest suffix is covered; they also give the
+    Ranks by the first 7, 14, 28.. bytes are made from each other until the longest suffix is covered; they also give the
     shared lengths, largest step first."""
     n = len(buffer)
-    padded = np.concatenate([buffer.astype(np.int64) + 1, np.zeros(4, np.int64)])
+    padded = np.concatenate([buffer.astype(np.int64) + 1, np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
-    for j in range(4):
+    for j in range(7):
         key = key * 257 + np.where(left > j, padded[j : j + n], 0)
-    levels, width = [], 4
+    levels, width = [], 7
     while True:
         order = np.argsort(key, kind="stable")
         step = np.concatenate([[0], np.diff(key[order]) != 0])
@@ -149,7 +149,7 @@ def suffix_order(buffer: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.n
     a, b = order[:-1].copy(), order[1:].copy()
     limit = np.minimum(left[a], left[b])
     got = np.zeros(len(a), np.int64)
-    for width, rank in [*reversed(levels), *[(1, None)] * 3]:
+    for width, rank in [*reversed(levels), *[(1, None)] * 6]:
         on = got < limit
         i, j = np.where(on, a + got, 0), np.where(on, b + got, 0)
         same = (rank[i] == rank[j]) if rank is not None else (buffer[i] == buffer[j])
