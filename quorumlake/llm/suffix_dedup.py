@@ -122,39 +122,49 @@ def fragments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
         yield h[first], f[first], number[first], a[first] + lo - off[number[first]], n[first], times
 
 
-def suffix_order(buffer: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of the positions of buffer, where the suffix at i has left[i] bytes, and the lengths that neighbours in
-    it share (0 first). Equal suffixes stand by position.
+def suffix_order(buffer: np.ndarray, left: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the positions of buffer with `least` or more bytes left, where the suffix at i has left[i] bytes, and
+    the lengths that neighbours in it share (0 first). Equal suffixes stand by position.
 
-    Ranks by the first 7, 14, 28.. bytes are made from each other until the longest suffix is covered; they also give the
-    shared lengths, largest step first."""
+    Suffixes are put in order by seven bytes, then those equal so far by the next seven, until all have parted or ended; a
+    group whose next bytes are in order already isn't sorted."""
     n = len(buffer)
-    padded = np.concatenate([buffer.astype(np.int64) + 1, np.zeros(7, np.int64)])
-    key = np.zeros(n, np.int64)
-    for j in range(7):
-        key = key * 257 + np.where(left > j, padded[j : j + n], 0)
-    levels, width = [], 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.diff(key[order]) != 0])
-        rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(step)
-        levels.append((width, rank))
-        if width >= int(left.max(initial=0)) or int(rank.max(initial=0)) == n - 1:
-            break
-        behind = np.concatenate([rank[width:], np.zeros(min(width, n), np.int32)])[:n].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (n + 1) + np.where(left > width, behind, 0)
-        width *= 2
-    shared = np.zeros(n, np.int64)
-    a, b = order[:-1].copy(), order[1:].copy()
-    limit = np.minimum(left[a], left[b])
-    got = np.zeros(len(a), np.int64)
-    for width, rank in [*reversed(levels), *[(1, None)] * 6]:
-        on = got < limit
-        i, j = np.where(on, a + got, 0), np.where(on, b + got, 0)
-        same = (rank[i] == rank[j]) if rank is not None else (buffer[i] == buffer[j])
-        got += np.where(on & same, width, 0)
-    shared[1:] = np.minimum(got, limit)
+    bytes_ = np.concatenate([buffer, np.zeros(7, np.uint8)]).astype(np.uint64)
+    two = (bytes_[:-1] << np.uint64(8)) | bytes_[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    count = np.minimum(left, 7)
+    mask = np.array([0, *(((1 << 8 * k) - 1) << (64 - 8 * k) for k in range(1, 8))], np.uint64)
+    # seven bytes (zeros behind the end), then how many of them there are
+    word = (((four[:n] << np.uint64(32)) | ((four[3 : n + 3] & np.uint64(0xFFFFFF)) << np.uint64(8))) & mask[count]) | count.astype(np.uint64)
+
+    order = np.flatnonzero(left >= least)
+    order = order[np.argsort(word[order], kind="stable")]
+    shared = np.zeros(len(order), np.int64)
+    place, group, depth = np.arange(len(order)), np.zeros(len(order), np.int64), 0
+    while len(place) > 1:
+        at = order[place]
+        code = np.where(left[at] > depth, word[np.minimum(at + depth, n - 1)], np.uint64(0))
+        together = group[1:] == group[:-1]
+        down = together & (code[1:] < code[:-1])
+        if down.any():
+            messy = np.zeros(int(group[-1]) + 1, bool)
+            messy[group[1:][down]] = True
+            some = np.flatnonzero(messy[group])
+            by = some[np.lexsort((code[some], group[some]))]
+            at[some], code[some] = at[by], code[by]
+            order[place] = at
+        equal = together & (code[1:] == code[:-1])
+        parted = np.flatnonzero(together & ~equal)
+        apart = code[parted] ^ code[parted + 1]
+        common = sum((apart >> np.uint64(64 - 8 * k)) == 0 for k in range(1, 8)) + depth
+        shared[place[parted + 1]] = np.minimum(common, np.minimum(left[at[parted]], left[at[parted + 1]]))
+        going = equal & ((code[1:] & np.uint64(255)) == 7)
+        ended = np.flatnonzero(equal & ~going) + 1
+        shared[place[ended]] = left[at[ended]]
+        stays = np.append(going, False) | np.insert(going, 0, False)
+        number = np.insert(np.cumsum(~going), 0, 0)[stays]
+        place, group = place[stays], np.cumsum(np.diff(number, prepend=number[:1]) != 0)
+        depth += 7
     return order, shared
 
 
@@ -168,7 +178,7 @@ def repeats(pieces: list[bytes], length: int = LENGTH) -> list[tuple[int, int, i
         return []
     owner = np.repeat(np.arange(len(pieces)), sizes)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order, shared = suffix_order(np.frombuffer(b"".join(pieces), np.uint8), sizes[owner] - inner)
+    order, shared = suffix_order(np.frombuffer(b"".join(pieces), np.uint8), sizes[owner] - inner, length)
     # a suffix that shares `length` bytes with no neighbour opens nothing and parts those about it: only others go on
     near = np.maximum(shared, np.append(shared[1:], 0)) >= length
     if not near.any():
