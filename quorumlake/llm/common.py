@@ -153,6 +153,18 @@ def tidied(run):
     return wrapped
 
 
+def release_memory() -> None:
+    """Gives what this process no longer uses back to the system; for the driver, which outlives every fit."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column, without a copy of the text; null is empty."""
     if column.null_count:

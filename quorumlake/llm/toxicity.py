@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, small_batches, tidied, unused, worker_cache, written
+from quorumlake.llm.common import release_memory, slices, small_batches, tidied, unused, worker_cache, written
 
 #: Rows that the lexicon is fitted on, at most: labelled training rows in hash order.
 FIT_ROWS = 6_000
@@ -191,9 +191,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, training: Column, id_col: st
 
     # at most fit_rows ids: a broadcast of fixed size
     rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(chosen), "_id").select("_text", "_label"))
-    sample = rows.mapInArrow(tidied(words), "words string, label int").collect()
-    lexicon = learn(sorted((r[0], r[1]) for r in sample))
-    del sample
+    lexicon = learn(sorted(map(tuple, rows.mapInArrow(tidied(words), "words string, label int").collect())))
+    release_memory()
     key = _key(lexicon)
     return calibrate(lexicon, sorted(map(tuple, rows.mapInArrow(tidied(points), "a double, b double, label int").collect())))
 
