@@ -98,14 +98,50 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     return met.where(F.col(flag)).drop(flag).unionByName(rest)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) as (node, root), root the smallest node. Nodes without an edge are absent.
+#: Edges that a task joins up at a time before the first round of components.
+FOREST_EDGES = 200_000
 
-    Alternating large-star and small-star steps until nothing changes. All steps are aggregations and joins; the rows of
-    hubs meet a broadcast of bounded size, and nothing is collected.
+
+def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Edges that join up the same nodes: each node but the smallest of its component, with that smallest one."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = top(x), top(y)
+        parent[max(x, y)] = min(x, y)
+    nodes = [x for x in parent if parent[x] != x]
+    return nodes, [top(x) for x in nodes]
+
+
+def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
+    """Connected components of (a, b), longs, as (node, root), root the smallest node. Nodes without an edge are absent.
+
+    Tasks first join up what their own edges join, `forest_edges` at a time; then large-star and small-star steps
+    alternate until nothing changes, so fewer rounds are left the more of a component one task has seen. The steps are
+    aggregations and joins; the rows of hubs meet a broadcast of bounded size, and nothing is collected.
     """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    distinct = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
+
+    def joined(batches):
+        a, b = [], []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+            if len(a) >= forest_edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], names=["a", "b"])
+
+    def state(links: DataFrame):
+        return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    now = written(distinct.mapInArrow(tidied(joined), "a long, b long"))
+    before = state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
@@ -113,7 +149,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a != b")
         now = written(small.distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = state(now)
         if seen == before:
             break
         before = seen

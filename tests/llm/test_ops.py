@@ -517,3 +517,22 @@ def test_empty_tables(spark, docs):
     bench = none.select(F.col("doc_id").alias("item_id"), "text")
     for out in (exact_dedup.exact_dedup(none), near_dedup.near_dedup(none), suffix_dedup.remove_repeats(none), decontamination.contamination_report(none, bench), secret_scan.scan_secrets(none), pii.find_pii(none, trees=trees)):
         assert out.collect() == []
+
+
+@pytest.mark.parametrize("forest_edges", [3, 200_000])
+def test_components(spark, forest_edges):
+    from quorumlake.llm.common import components
+
+    r = random.Random(11)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(170)]
+    edges += [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(90)] + [(5, 5), *edges[:20]]
+    r.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    found = components(table, forest_edges).collect()
+    assert sorted((x["node"], x["root"]) for x in found) == sorted(root.items())
+    assert components(table.where("a < 0")).count() == 0
