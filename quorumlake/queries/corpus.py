@@ -266,9 +266,15 @@ def j8_template_first(t: Tables) -> DataFrame:
     return n.join(first, "template", "left").select("doc_id", "first_id")
 
 
-_SETS = f"""{_WORDS}, s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS items FROM w),
- e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s)"""
-_PAIRS = f"{_SETS}, o AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS overlap FROM e a JOIN e b ON a.item = b.item WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY 1, 2)"
+def _sets_sql(table: str, key: str, prefix: str = "") -> str:
+    """Words w, shingle sets s and their items e of a table, under names with the prefix."""
+    words = _WORDS.replace("w AS", f"{prefix}w AS", 1).replace("doc_id", key).replace("documents", table)
+    return f"""{words}, {prefix}s AS (SELECT {key}, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS items FROM {prefix}w),
+ {prefix}e AS (SELECT {key}, len(items) AS n, unnest(items) AS item FROM {prefix}s)"""
+
+
+_SETS, _BENCHMARK_SETS = _sets_sql("documents", "doc_id"), _sets_sql("benchmark", "item_id", "b")
+_AGAINST = f"{_SETS}, {_BENCHMARK_SETS}, o AS (SELECT a.doc_id AS l, b.item_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS overlap FROM e a JOIN be b ON a.item = b.item GROUP BY 1, 2), nr AS (SELECT l, first(r ORDER BY overlap / (ln + rn - overlap) DESC, r) AS near FROM o WHERE overlap / (ln + rn - overlap) >= 0.8 GROUP BY l), n AS (SELECT doc_id, text, n_chars, {_TEMPLATE} AS template FROM documents), p AS (SELECT item_id, text, {_TEMPLATE} AS template FROM benchmark), ex AS (SELECT text, min(item_id) AS x FROM p GROUP BY 1), te AS (SELECT template, min(item_id) AS y FROM p WHERE template <> '' GROUP BY 1), c AS (SELECT n.doc_id, n_chars, n.text, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'template' WHEN near IS NOT NULL THEN 'near' ELSE 'none' END AS kind, coalesce(x, y, near) AS match FROM n LEFT JOIN ex USING (text) LEFT JOIN te USING (template) LEFT JOIN nr ON nr.l = n.doc_id)"
 
 
 def _sets(t: Tables) -> DataFrame:
@@ -277,46 +283,27 @@ def _sets(t: Tables) -> DataFrame:
     return rows.withColumn("words", F.regexp_extract_all("template", F.lit("[a-z]+|<num>"), F.lit(0))).withColumn("items", X.shingles(F.col("words")))
 
 
-@query(f"WITH {_PAIRS} SELECT l, r, overlap, round(overlap / (ln + rn - overlap), 9) AS jaccard FROM o WHERE overlap / (ln + rn - overlap) >= 0.8")
-def j9_set_similarity_join(t: Tables) -> DataFrame:
-    """Even ids as questions, odd ones as the protected side: two inputs, as in the operator's use."""
-    s = _sets(t)
-    return similarity_join(s.where("key % 2 = 0"), s.where("key % 2 = 1"), 0.8).withColumn("jaccard", F.round("jaccard", 9))
-
-
-@query(f"WITH {_WORDS}, d AS (SELECT doc_id, list_distinct(words) AS items FROM w), e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM d), o AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS c FROM e a JOIN e b ON a.item = b.item WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY 1, 2) SELECT DISTINCT l AS doc_id FROM o WHERE c / (ln + rn - c) >= 0.9")
-def j10_near_duplicate_ids(t: Tables) -> DataFrame:
-    s = _sets(t).withColumn("items", F.array_distinct("words"))
-    return similarity_join(s.where("key % 2 = 0"), s.where("key % 2 = 1"), 0.9).select(F.col("l").alias("doc_id")).distinct()
-
-
-@query(f"WITH {_PAIRS}, nr AS (SELECT l, first(r ORDER BY overlap / (ln + rn - overlap) DESC, r) AS near FROM o WHERE overlap / (ln + rn - overlap) >= 0.8 GROUP BY l), n AS (SELECT doc_id, text, {_TEMPLATE} AS template FROM documents), ex AS (SELECT text, min(doc_id) AS x FROM n WHERE doc_id % 2 = 1 GROUP BY 1), te AS (SELECT template, min(doc_id) AS y FROM n WHERE doc_id % 2 = 1 AND template <> '' GROUP BY 1) SELECT n.doc_id, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'template' WHEN near IS NOT NULL THEN 'near' ELSE 'none' END AS kind, coalesce(x, y, near) AS match FROM n LEFT JOIN ex USING (text) LEFT JOIN te USING (template) LEFT JOIN nr ON nr.l = n.doc_id WHERE n.doc_id % 2 = 0")
-def j11_contamination_cascade(t: Tables) -> DataFrame:
-    s = _sets(t)
-    return contamination_cascade(s.where("key % 2 = 0"), s.where("key % 2 = 1"), 0.8).withColumnRenamed("key", "doc_id")
-
-
 def _benchmark_sets(t: Tables) -> DataFrame:
     rows = t.benchmark.select(F.col("item_id").alias("key"), "text", _template(F.col("text")).alias("template"))
     return rows.withColumn("words", F.regexp_extract_all("template", F.lit("[a-z]+|<num>"), F.lit(0))).withColumn("items", X.shingles(F.col("words")))
 
 
-@query()
-def j9_all_documents(t: Tables) -> DataFrame:
+@query(f"WITH {_SETS} SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS overlap, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS jaccard FROM e a JOIN e b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8")
+def j9_set_similarity_join(t: Tables) -> DataFrame:
     """All pairs of documents, each once."""
     s = _sets(t)
     return similarity_join(s, s, 0.8, once=True).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
-def j10_all_documents(t: Tables) -> DataFrame:
+@query(f"WITH {_WORDS}, d AS (SELECT doc_id, list_distinct(words) AS items FROM w), e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM d) SELECT DISTINCT l AS doc_id FROM (SELECT a.doc_id AS l FROM e a JOIN e b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.9)")
+def j10_near_duplicate_ids(t: Tables) -> DataFrame:
     """Every document that has a near-duplicate among all others."""
     s = _sets(t).withColumn("items", F.array_distinct("words"))
     return similarity_join(s, s, 0.9, once=True).select(F.explode(F.array("l", "r")).alias("doc_id")).distinct()
 
 
-@query()
-def j11_against_benchmark(t: Tables) -> DataFrame:
+@query(f"WITH {_AGAINST} SELECT doc_id, kind, match FROM c")
+def j11_contamination_cascade(t: Tables) -> DataFrame:
     """Every document against the whole benchmark as the protected side."""
     return contamination_cascade(_sets(t), _benchmark_sets(t), 0.8).withColumnRenamed("key", "doc_id")
 

@@ -135,21 +135,21 @@ def test_similarity_of_all_documents(spark, tmp_path):
     def alike(a, b):
         return len(a & b) / len(a | b) if a and b else 0.0
 
-    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("j9_all_documents", "j10_all_documents", "j11_against_benchmark", "plan_external_corpus_benchmark")}
+    got = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("j9_set_similarity_join", "j10_near_duplicate_ids", "j11_contamination_cascade", "plan_external_corpus")}
     sets, bags = {i: shingles(t) for i, t in texts.items()}, {i: set(t.split()) for i, t in texts.items()}
     pairs = {(a, b): alike(sets[a], sets[b]) for a in texts for b in texts if a < b}
     want = {p: round(s, 9) for p, s in pairs.items() if s >= 0.8}
-    assert {(x["l"], x["r"]): x["jaccard"] for x in got["j9_all_documents"]} == want and len(got["j9_all_documents"]) == len(want)
+    assert {(x["l"], x["r"]): x["jaccard"] for x in got["j9_set_similarity_join"]} == want and len(got["j9_set_similarity_join"]) == len(want)
     assert {p for p in want if sum(p) % 2 == 0} and {p for p in want if sum(p) % 2}
-    assert {x["doc_id"] for x in got["j10_all_documents"]} == {i for p in pairs if alike(bags[p[0]], bags[p[1]]) >= 0.9 for i in p}
+    assert {x["doc_id"] for x in got["j10_near_duplicate_ids"]} == {i for p in pairs if alike(bags[p[0]], bags[p[1]]) >= 0.9 for i in p}
     kinds = {}
     for i, t in texts.items():
         exact = [k for k, x in items.items() if x == t]
         near = sorted((-alike(sets[i], shingles(x)), k) for k, x in items.items() if alike(sets[i], shingles(x)) >= 0.8)
         kinds[i] = ("exact", exact[0]) if exact else ("near", near[0][1]) if near else ("none", None)
-    assert {x["doc_id"]: (x["kind"], x["match"]) for x in got["j11_against_benchmark"]} == kinds and {k for k, _ in kinds.values()} == {"exact", "near", "none"}
+    assert {x["doc_id"]: (x["kind"], x["match"]) for x in got["j11_contamination_cascade"]} == kinds and {k for k, _ in kinds.values()} == {"exact", "near", "none"}
     first = {t: min(i for i in texts if texts[i] == t) for t in texts.values() if len(t) > 300}
-    assert {x["key"] for x in got["plan_external_corpus_benchmark"]} == {i for i in first.values() if kinds[i][0] == "none"}
+    assert {x["key"] for x in got["plan_external_corpus"]} == {i for i in first.values() if kinds[i][0] == "none"}
 
 
 def test_similarity_join(spark):
