@@ -8,6 +8,7 @@ corpus. Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -26,6 +27,8 @@ SHARD_WORDS = 2048
 #: Smoothing of emissions (added to each count) and of transitions (weight of the class's own share).
 ALPHA, BETA = 0.5, 5.0
 END = np.int64(0x454E44)
+#: Symbols of a run whose neighbours are counted at a time.
+RUN_STEP = 1 << 18
 
 
 def class_number(words: int) -> int:
@@ -41,24 +44,32 @@ def _words(batch: pa.RecordBatch, column: int):
         yield piece, hashes.view(np.int64), shapes[0], bounds
 
 
-def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with summed counts, and the first of what else belongs to a key."""
-    keys, counts, rest = (np.concatenate(p) for p in zip(*parts, strict=True))
-    found, first, where = np.unique(keys, return_index=True, return_inverse=True)
-    return found, np.bincount(where, weights=counts, minlength=len(found)).astype(np.int64), rest[first]
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys with summed counts, and the least of what else belongs to a key. Empties parts, to hold keys once."""
+    keys, counts, *rest = (np.concatenate(p) for p in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(keys)
+    for column in (keys, counts, *rest):
+        column[:] = column[order]
+    del order
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    keys = keys[first]
+    return keys, np.add.reduceat(counts, first, dtype=np.int64), *(np.minimum.reduceat(x, first) for x in rest)
 
 
-def _summed(parts, limit: int = 2_000_000):
-    """parts added up, given out whenever the keys gathered so far are many."""
+def _summed(parts, limit: int = 1_000_000, rows: int = 1 << 16):
+    """parts added up, given out whenever the keys gathered so far are many, by so many rows: a batch of all of them would be
+    held by the worker and by the executor's JVM at once. What isn't added up here is by the aggregation that follows."""
     held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size > limit:
-            yield _added(held)
-            held, size = [], 0
-    if held:
-        yield _added(held)
+    for part in itertools.chain(parts, [None]):
+        if part is not None:
+            held.append(part)
+            size += len(part[0])
+        if size > limit or part is None and held:
+            columns, size = _added(held), 0
+            for at in range(0, len(columns[0]), rows):
+                yield tuple(x[at : at + rows] for x in columns)
+            del columns
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -67,14 +78,14 @@ def count_words(docs: DataFrame) -> DataFrame:
     def parts(batches):
         for batch in batches:
             if batch.num_rows:
-                yield np.array([END]), np.array([batch.num_rows]), np.array([0])
+                yield np.array([END]), np.array([batch.num_rows], np.int32), np.array([0], np.int32)
             for _, hashes, shapes, _ in _words(batch, 0):
                 found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                yield found, counts, shapes[first]
+                yield found, counts.astype(np.int32), shapes[first].astype(np.int32)
 
     def run(batches):
         for keys, counts, shapes in _summed(parts(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(shapes.astype(np.int32))], names=["h", "c", "shape"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(shapes)], names=["h", "c", "shape"])
 
     return docs.select("_text").mapInArrow(tidied(run), "h long, c long, shape int").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
 
@@ -109,11 +120,12 @@ def symbol_runs(docs: DataFrame, head: np.ndarray, ranks: np.ndarray) -> DataFra
     return docs.select("_text").mapInArrow(tidied(run), "run binary")
 
 
-def count_neighbours(runs: DataFrame, of: np.ndarray, total: int) -> DataFrame:
+def count_neighbours(runs: DataFrame, of: np.ndarray, total: int, step: int = RUN_STEP) -> DataFrame:
     """(s, at, n) of a clustering `of` symbols into `total` classes, over all neighbours; each text starts after an end.
 
     Of a clustered word s: how often class `at` follows it, class at - total is before it, and (at = 2 * total) it follows
-    itself. Of class k, as s = -1 - k: how often class `at` follows. Tasks add up their own counts first.
+    itself. Of class k, as s = -1 - k: how often class `at` follows. Tasks add up their own counts first, `step` symbols of a
+    run at a time.
     """
     shared = runs.sparkSession.sparkContext.broadcast(of)
     width = 2 * total + 1
@@ -122,18 +134,18 @@ def count_neighbours(runs: DataFrame, of: np.ndarray, total: int) -> DataFrame:
         classes, first = shared.value, 1 + SHAPES
         for batch in batches:
             for raw in batch.column(0):
-                after = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
-                if not len(after):
-                    continue
-                before = np.concatenate([[0], after[:-1]])
-                kinds, kinds_before = classes[after], classes[before]
-                lead, follow, twice = before >= first, after >= first, (after == before) & (after >= first)
-                keys = np.concatenate([before[lead] * width + kinds[lead], after[follow] * width + total + kinds_before[follow], after[twice] * width + 2 * total, (-1 - kinds_before) * width + kinds])
-                found, counts = np.unique(keys, return_counts=True)
-                yield found, counts, counts
+                symbols = np.frombuffer(raw.as_buffer(), np.int32)
+                for at in range(0, len(symbols), step):
+                    after = symbols[at : at + step].astype(np.int64)
+                    before = np.concatenate([symbols[at - 1 : at] if at else [0], after[:-1]]).astype(np.int64)
+                    kinds, kinds_before = classes[after], classes[before]
+                    lead, follow, twice = before >= first, after >= first, (after == before) & (after >= first)
+                    keys = np.concatenate([before[lead] * width + kinds[lead], after[follow] * width + total + kinds_before[follow], after[twice] * width + 2 * total, (-1 - kinds_before) * width + kinds])
+                    found, counts = np.unique(keys, return_counts=True)
+                    yield found, counts.astype(np.int32)
 
     def run(batches):
-        for keys, counts, _ in _summed(parts(batches)):
+        for keys, counts in _summed(parts(batches)):
             yield pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(counts)], names=["s", "at", "n"])
 
     return runs.mapInArrow(tidied(run), "s int, at int, n long").groupBy("s", "at").agg(F.sum("n").alias("n"))

@@ -350,6 +350,48 @@ def test_brown_model_and_score(docs):
         assert abs(score - got[i]) < 1e-6
 
 
+def test_brown_sums_in_bounded_memory():
+    """Adding up counts holds 80 MB at most beside what comes in, and gives them out by small batches."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    parts = [(np.unique(r.integers(0, 3_000_000, 250_000)), i) for i in range(16)]
+    want = np.zeros(3_000_000, np.int64)
+    for keys, i in parts:
+        want[keys] += i + 1
+    got, most = np.zeros(3_000_000, np.int64), 0
+    tracemalloc.start()
+    start = tracemalloc.get_traced_memory()[0]
+    for keys, counts, shapes in brown_lm._summed((keys, np.full(len(keys), i + 1, np.int32), (keys % 20).astype(np.int32)) for keys, i in parts):
+        got[keys] += counts
+        most = max(most, len(keys))
+        assert (shapes == keys % 20).all() and counts.dtype == np.int64
+    peak = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    assert (got == want).all() and most <= 1 << 16 and peak < 80e6, (most, peak)
+    assert list(brown_lm._summed([])) == []
+    assert list(brown_lm._summed([(np.zeros(0, np.int64), np.zeros(0, np.int32))])) == []
+
+
+def test_brown_neighbours_across_steps(spark):
+    """Neighbours are counted alike however a run is cut."""
+    r = np.random.default_rng(7)
+    total, words = 1 + 3 + brown_lm.SHAPES, 9
+    of = np.concatenate([[0], 4 + np.arange(brown_lm.SHAPES), 1 + np.arange(words) % 3])
+    chains = [r.choice([0, 5, *range(21, 21 + words)], 200).tolist() + [0] for _ in range(3)] + [[21, 21, 21, 0], []]
+    want = collections.Counter()
+    for chain in chains:
+        for a, b in zip([0, *chain], chain):
+            want[-1 - of[a], of[b]] += 1
+            want[a, of[b]] += a >= 21
+            want[b, total + of[a]] += b >= 21
+            want[a, 2 * total] += a == b >= 21
+    runs = spark.createDataFrame([(bytearray(np.array(c, np.int32).tobytes()),) for c in chains], "run binary")
+    for step in (1, 2, 7, 1000):
+        got = {(x["s"], x["at"]): x["n"] for x in brown_lm.count_neighbours(runs, of, total, step).collect()}
+        assert got == {k: n for k, n in want.items() if n}
+
+
 def test_brown_exchange_never_loses_likelihood():
     """Moves one after another raise the likelihood, and its change is what plain recounting gives."""
     r = np.random.default_rng(3)
