@@ -29,6 +29,8 @@ ALPHA, BETA = 0.5, 5.0
 END = np.int64(0x454E44)
 #: Symbols of a run whose neighbours are counted at a time.
 RUN_STEP = 1 << 18
+#: Runs in an Arrow batch; a run is of some two megabytes of text.
+RUN_BATCH = 1
 
 
 def class_number(words: int) -> int:
@@ -249,6 +251,18 @@ def likelihood(m: np.ndarray) -> float:
     return float(_f(m).sum() - _f(m.sum(axis=1)).sum() - _f(m.sum(axis=0)).sum())
 
 
+def _written_by_runs(df: DataFrame) -> DataFrame:
+    """df, made of runs, written with RUN_BATCH runs an Arrow batch: runs are large, and a batch of all of a task's would be held
+    by the executor's JVM and the worker at once. The session's own setting is put back."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, str(RUN_BATCH))
+    try:
+        return written(df)
+    finally:
+        conf.set(key, before)
+
+
 def cluster(runs: DataFrame, words: int, classes: int, sweeps: int = SWEEPS, shard_words: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The class of each symbol (0 the end, then the exchange classes, then the shapes) and the class bigrams.
 
@@ -257,7 +271,7 @@ def cluster(runs: DataFrame, words: int, classes: int, sweeps: int = SWEEPS, sha
     of = np.concatenate([[0], 1 + classes + np.arange(SHAPES), 1 + np.arange(words) % max(classes, 1)]).astype(np.int64)
     best = None
     for number in range(sweeps + 1):
-        counts = written(count_neighbours(runs, of, total))
+        counts = _written_by_runs(count_neighbours(runs, of, total))
         m = _class_bigrams(counts, total)
         if best is None or likelihood(m) > best[0]:
             best = (likelihood(m), of, m)
