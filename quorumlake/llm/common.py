@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -98,7 +99,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     return met.where(F.col(flag)).drop(flag).unionByName(rest)
 
 
-#: Edges that a task joins up at a time before the first round of components.
+#: Edges that a task of components joins up at a time.
 FOREST_EDGES = 200_000
 
 
@@ -121,11 +122,12 @@ def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
 def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
     """Connected components of (a, b), longs, as (node, root), root the smallest node. Nodes without an edge are absent.
 
-    Tasks first join up what their own edges join, `forest_edges` at a time; then large-star and small-star steps
-    alternate until nothing changes, so fewer rounds are left the more of a component one task has seen. The steps are
-    aggregations and joins; the rows of hubs meet a broadcast of bounded size, and nothing is collected.
+    Tasks first join up what their own edges join, `forest_edges` at a time. What that leaves is dealt to as few tasks as
+    take up to `forest_edges` each, which join it up once more; one task alone is done with that. Of several, large-star
+    and small-star steps alternate until nothing changes, so fewer rounds are left the more of a component one task has
+    seen. The steps are aggregations and joins; the rows of hubs meet a broadcast of bounded size, and nothing is
+    collected. A round plans some ten jobs, which the driver's memory keeps traces of, however few the edges.
     """
-    distinct = edges.where("a != b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
 
     def joined(batches):
         a, b = [], []
@@ -140,9 +142,14 @@ def components(edges: DataFrame, forest_edges: int = FOREST_EDGES) -> DataFrame:
     def state(links: DataFrame):
         return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = written(distinct.mapInArrow(tidied(joined), "a long, b long"))
-    before = state(now)
-    while True:
+    def forests(links: DataFrame) -> DataFrame:
+        return written(links.mapInArrow(tidied(joined), "a long, b long"))
+
+    now = forests(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = max(1, math.ceil(now.count() / forest_edges))
+    now = forests(now.repartition(tasks))
+    before = state(now) if tasks > 1 else None
+    while tasks > 1:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         large = join_hot(both, low, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -578,3 +578,21 @@ def test_components(spark, forest_edges):
     found = components(table, forest_edges).collect()
     assert sorted((x["node"], x["root"]) for x in found) == sorted(root.items())
     assert components(table.where("a < 0")).count() == 0
+
+
+def test_components_of_few_edges_need_no_rounds(spark):
+    from quorumlake.llm.common import components
+
+    edges = [(i, i + 1) for i in range(99)]
+    random.Random(5).shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        few = components(table)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 6
+    whole, parts = ({x["node"]: x["root"] for x in found.collect()} for found in (few, components(table, 99)))
+    assert whole == parts == dict.fromkeys(range(100), 0)
+    assert {x["node"]: x["root"] for x in components(table, 98).collect()} == dict.fromkeys(range(100), 0)  # one edge too many for one task
