@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import byte_codes, make_room, prefix_hash, slices, small_batches, span_hash, text_buffer, tidied, unused, worker_cache
+from quorumlake.llm.common import byte_codes, make_room, prefix_hash, release_memory, slices, small_batches, span_hash, text_buffer, tidied, unused, worker_cache
 
 SPACE_MARK = "▁"
 #: Where the cluster keeps the public model files; a parameter everywhere.
@@ -25,6 +25,8 @@ UNIGRAM, BPE = 1, 2
 KNOWN_WORDS = 300_000
 #: New words that go to the library in one line.
 LINE_WORDS = 256
+#: Bytes of text that are worked on at a time: each takes some hundred bytes of arrays and lists meanwhile.
+PIECE_BYTES = 1 << 18
 
 PROBES = (
     "", " ", "  ", "a", " a", "a ", "Hello world", "  two  spaces   three    four     five", "tabs\tand\nnew lines\r\n\r\n", "naïve café Übermaß ñandú",
@@ -187,10 +189,9 @@ class Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         self.raw, self.model = raw, parse_model(raw)
-        self.whole = build_tokenizer(self.model)
         blank = [i for i, p in enumerate(self.model.pieces) if p[0] == SPACE_MARK][:1]
         self.cuts = cuttable(self.model) and not self.model.charsmap and not self.model.trim_spaces and self.model.dummy_prefix and bool(blank)
-        self._peer = None
+        self._whole = self._peer = None
         if self.cuts:
             self.words = Words(blank[0])
             self.tokenizer = build_tokenizer(self.model)
@@ -290,6 +291,13 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
+    @property
+    def whole(self):
+        """The tokenizer of whole texts, built when it is first asked for: where texts are cut, few workers meet a text that needs it."""
+        if self._whole is None:
+            self._whole = build_tokenizer(self.model)
+        return self._whole
+
     def peer(self):
         import sentencepiece
 
@@ -328,8 +336,8 @@ def _codec(raw: bytes, threads: int) -> Codec:
 def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", threads: int = 2, verify: bool = True) -> DataFrame:
     """docs with ids array<int>, n_tokens and, with verify, parity and round_trip.
 
-    raw is the model file's content (megabytes at most; it travels with the tasks). Pieces of about a megabyte of text go
-    to the library's threads. A fixed list of texts is held to parity before the job starts. With verify, every whole text
+    raw is the model file's content (megabytes at most; it travels with the tasks). Pieces of PIECE_BYTES of text (or one
+    text) go to the library's threads. A fixed list of texts is held to parity before the job starts. With verify, every whole text
     is encoded by the sentencepiece library too (parity: the same ids) and its ids are put back into text (round_trip:
     the same bytes; false where the model normalises or trims, or the text holds the mark U+2581).
 
@@ -338,6 +346,7 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
     """
     small_batches(docs.sparkSession)
     Codec(raw, threads).check()
+    release_memory()
     new = {"ids": "array<int>", "n_tokens": "long", **({"parity": "boolean", "round_trip": "boolean"} if verify else {})}
     docs = docs.withColumn(unused(docs, "_encoded"), F.coalesce(F.col(text_col), F.lit("")))
     base = make_room(docs, list(new))
@@ -346,7 +355,7 @@ def encode_documents(docs: DataFrame, raw: bytes, text_col: str = "text", thread
     def encode(batches):
         codec = _codec(raw, threads)
         for batch in batches:
-            for piece in slices(batch, batch.num_columns - 1, 1 << 20):
+            for piece in slices(batch, batch.num_columns - 1, PIECE_BYTES):
                 texts = piece.column(piece.num_columns - 1)
                 flat, sizes = codec.encode_column(texts)
                 verdicts = []

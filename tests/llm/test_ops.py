@@ -484,6 +484,40 @@ def test_sentencepiece(spark, docs):
     assert {r["doc_id"]: r["text"] for r in back} == texts()
 
 
+def test_sentencepiece_worker_memory(spark, monkeypatch):
+    """A worker builds one tokenizer as long as no text needs to be encoded whole, and works on a quarter of a megabyte at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import sentencepiece
+
+    raw = sentencepiece_codec.load_model(MODEL)
+    built, build, ran = [], sentencepiece_codec.build_tokenizer, []
+    monkeypatch.setattr(sentencepiece_codec, "tidied", lambda run: ran.append(run) or run)
+    sentencepiece_codec.encode_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), raw, threads=1)
+    monkeypatch.setattr(sentencepiece_codec, "build_tokenizer", lambda model: built.append(1) or build(model))
+    codec = sentencepiece_codec._codec(raw, 1)
+    r = random.Random(5)
+    bag = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randint(2, 9))) for _ in range(2000)]
+    lines = [" ".join(r.choices(bag, k=3000)) for _ in range(60)]
+    column = pa.array(lines, pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), column, column], names=["doc_id", "text", "_encoded"])
+    list(ran[0]([batch.slice(0, 1)]))  # powers and parts of the models are kept
+    tracemalloc.start()
+    out, peak = [], 0
+    for part in ran[0]([batch]):
+        out.append(part)
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert len(built) == 1
+    assert len(out) > 4 and peak < 45e6, peak
+    table = pa.Table.from_batches(out)
+    assert table["ids"].to_pylist() == sentencepiece.SentencePieceProcessor(model_proto=raw).encode(lines)
+    assert table["doc_id"].to_pylist() == list(range(60)) and all(table["parity"].to_pylist()) and all(table["round_trip"].to_pylist())
+    whole = codec.whole
+    assert len(built) == 2 and codec.whole is whole and codec.decode([table["ids"][0].as_py()]) == lines[:1]
+
+
 def field(number, value):
     def varint(n):
         out = b""
